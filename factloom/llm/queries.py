@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .byte_bpe import op2_byte_bpe
 from .exact_dedup import OP3_SQL, op3_exact_dedup
+from .near_dedup import OP4_SQL, op4_near_dedup
 from .sharding import op1_sharding
 from .token_files import op6_token_files
 
@@ -11,9 +12,11 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_near_dedup": op4_near_dedup,
     "op6_token_files": op6_token_files,
 }
 
 ORACLE_SQL = {
     "op3_exact_dedup": OP3_SQL,
+    "op4_near_dedup": OP4_SQL,
 }
