@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from .byte_bpe import op2_byte_bpe
 from .exact_dedup import OP3_SQL, op3_exact_dedup
+from .language_id import op8_language_id
 from .near_dedup import OP4_SQL, op4_near_dedup
 from .sharding import op1_sharding
 from .token_files import op6_token_files
+from .toxicity import op5_toxicity
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_near_dedup": op4_near_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_token_files": op6_token_files,
+    "op8_language_id": op8_language_id,
 }
 
 ORACLE_SQL = {

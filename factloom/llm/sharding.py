@@ -43,17 +43,18 @@ def interleave_shards(docs: DataFrame, shards: int = 16, seed: int = 20_240_229)
     total = thin.count()
     cells = max(1, -(-total // CELL_ROWS), min(total, 8 * common.shuffle_partitions(spark)))
 
-    # 1. Rank within a stratum, cell by cell of the hash.
-    of_stratum = thin.groupBy("stratum").agg(F.count(F.lit(1)).alias("stratum_rows"))
+    # 1. Rank within a stratum, cell by cell of the hash. Rows are only ever
+    # dealt by (stratum, cell): a stratum with a third of all rows is no hot key.
     share = F.shiftrightunsigned("mix", 11) / F.lit(float(1 << 53))
-    celled = (
-        thin.join(of_stratum, "stratum")
-        .withColumn("stratum_cells", F.ceil(F.col("stratum_rows") * F.lit(cells) / F.lit(max(total, 1))))
-        .withColumn("cell", F.floor(share * F.col("stratum_cells")))
-    )
-    per_cell = celled.groupBy("stratum", "cell").agg(F.count(F.lit(1)).alias("cell_rows"))
-    before = Window.partitionBy("stratum").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_cell.select("stratum", "cell", F.coalesce(F.sum("cell_rows").over(before), F.lit(0)).alias("base"))
+    celled = thin.withColumn("cell", F.floor(share * F.lit(cells)))
+    per_cell = celled.groupBy("stratum", "cell").agg(F.count(F.lit(1)).alias("cell_rows")).repartition("stratum")
+    of_stratum = Window.partitionBy("stratum")
+    before = of_stratum.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_cell.select(
+        "stratum", "cell",
+        F.coalesce(F.sum("cell_rows").over(before), F.lit(0)).alias("base"),
+        F.sum("cell_rows").over(of_stratum).alias("stratum_rows"),
+    )
     # The hash is ordered as an unsigned number, as its cells are.
     unsigned = (F.shiftrightunsigned("mix", 1), F.col("mix").bitwiseAND(F.lit(1)))
     inside = Window.partitionBy("stratum", "cell").orderBy(*unsigned, "doc_id", "text_crc32", "size")
