@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import struct
 import zlib
 from functools import lru_cache
 
@@ -34,13 +36,29 @@ END_ID = 2
 REMEMBERED = 400_000
 
 
+#: A full stop or comma between a letter and a space is a match of its own for the splitter.
+_STOP = re.compile(r"(?<=[^\W\d_])([.,])(?= |$)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letters: printable Latin-1 stands for itself, other bytes for 256, 257, ..."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+
+
 class WordCoder:
     """Encodes by the tokenizers library, each space-separated word once.
 
     The vocabulary's normaliser and splitter never join across a space and
-    drop it, so the ids of a text are those of its words in turn. That is
-    verified when the coder is made, for the pieces of the tokenizer's own
-    description; any other tokenizer encodes whole texts.
+    drop it, so the ids of a text are those of its words in turn. In Latin-1
+    texts no character composes with another and lower case is letter by
+    letter, so these are lower-cased first and get a space before a full stop
+    or comma that ends a word: fewer words are new. A new word of letters is
+    one match of the splitter and goes to the library's BPE model at once;
+    any other word takes the library's whole path.
+
+    All that holds for a tokenizer of the description checked below; with any
+    other one, whole texts are encoded.
     """
 
     def __init__(self, path: str):
@@ -50,56 +68,70 @@ class WordCoder:
         self.tokenizer = Tokenizer.from_file(path)
         made = json.loads(self.tokenizer.to_str())
         steps = [x.get("type") for x in (made.get("normalizer") or {}).get("normalizers", [])]
-        first = ((made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
-        self.by_word = steps == ["NFC", "Replace", "Lowercase"] and first.get("behavior") == "Removed" and not made.get("post_processor")
+        splits = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.by_word = (
+            steps == ["NFC", "Replace", "Lowercase"]
+            and [x.get("type") for x in splits] == ["Split", "ByteLevel"]
+            and splits[0]["behavior"] == "Removed"
+            and splits[0]["invert"]
+            and splits[0]["pattern"].get("Regex", "").endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+            and not splits[1]["add_prefix_space"]
+            and not made.get("post_processor")
+        )
         self.special = [x["content"] for x in made.get("added_tokens", [])]
+        self.letters = _byte_letters()
+        self.model = self.tokenizer.model.tokenize
         self.words = common.Remembered(REMEMBERED)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set[str]) -> None:
-        """Put the ids of ``words``, none of them in the young table, there.
+    def _words(self, text: str) -> list[str]:
+        text = text.replace("\n", " ")
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.split(" ")
+        # A special token's string may hold capitals or stops of its own.
+        if any(x in text for x in self.special):
+            return text.split(" ")
+        return _STOP.sub(r" \1", text.lower()).split(" ")
 
-        ASCII words are asked for in lower case and without a full stop or
-        comma after a letter, which is a match of its own for the splitter:
-        fewer words reach the library.
-        """
-        table, parts = self.words, {}
+    def _learn(self, words: set[str]) -> None:
+        table, found, rest = self.words, {}, []
         for word in words:
             if (ids := table.old.get(word)) is not None:
-                parts[word] = ids
-            elif word.isascii() and not any(x in word for x in self.special):
-                stem, tail = (word[:-1], word[-1]) if word[-1:] in (".", ",") and word[-2:-1].isalpha() else (word, "")
-                parts[word] = (stem.lower(), tail)
+                found[word] = ids
+            elif word.isalpha() and word.islower() and word.isascii():
+                found[word] = _packed([x.id for x in self.model(word)])
+            elif word.isalpha() and max(word) < "\u0100" and word == word.lower():
+                found[word] = _packed([x.id for x in self.model(word.encode().decode("latin-1").translate(self.letters))])
             else:
-                parts[word] = (word, "")
-        asked = {x for pair in parts.values() if isinstance(pair, tuple) for x in pair}
-        ids_of = {x: ids for x in asked if (ids := table.young.get(x)) is not None}
-        new = list(asked.difference(ids_of))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            ids_of.update(zip(part, self._whole(part)))
-        if len(table.young) + len(parts) + len(new) > table.entries:
+                rest.append(word)
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            found.update(zip(part, self._whole(part)))
+        if len(table.young) + len(found) > table.entries:
             table.young, table.old = {}, table.young
-        table.young.update((x, ids_of[x]) for x in new)
-        table.young.update((word, ids_of[x[0]] + ids_of[x[1]] if isinstance(x, tuple) else x) for word, x in parts.items())
+        table.young.update(found)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._whole(texts)
-        split = [text.replace("\n", " ").split(" ") for text in texts]
+        split = [self._words(text) for text in texts]
         asked = set().union(*split)
-        missing = asked.difference(self.words.young)
-        if missing:
-            young = self.words.young
-            self._learn(missing)
-            if self.words.young is not young:  # the table was turned over
-                self._learn(asked.difference(self.words.young))
+        young = self.words.young
+        self._learn(asked.difference(young))
+        if self.words.young is not young:  # the table was turned over
+            self._learn(asked.difference(self.words.young))
         of = self.words.young.__getitem__
         return [b"".join(map(of, words)) for words in split]
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 @lru_cache(maxsize=2)
 def coder(path: str) -> WordCoder:
     return WordCoder(path)
