@@ -13,15 +13,17 @@ the Jaccard similarity for b near 1.
 2. Bands of 7 registers are hashed to keys; 56 bands miss a pair of similarity
    0.8 with probability (1 - 0.8^7)^56 < 2e-6. Keys that only one class has
    are dropped.
-3. Members of a key are linked in rounds. A round compares the members outside
-   the key's largest component with one hub of it: linear in the members.
-   Rounds go on while keys with several components would still need more than
-   ``SLACK`` comparisons a member; then every remaining pair of one key and
-   different components is compared. So no pair is left out, and members of a
-   component are never compared with each other in vain.
-4. A pair is first judged by the joint likelihood of its registers given both
-   set sizes; only one whose estimate is more than five standard errors below
-   the threshold goes. The others are verified on their full sets.
+3. Each key's members are compared with its hub, the member that meets most
+   others over all keys: linear in the members, and near copies of one text
+   find that text. Then, in keys that still hold several components, all
+   members outside the largest one are compared with all. So no pair that
+   shares a key is left out, and members of a component are never compared
+   with each other in vain.
+4. Comparisons are made in blocks of bounded size: sets travel once for each
+   block, and no pair is ever a row. A pair is first judged by the joint
+   likelihood of its registers given both set sizes; only one whose estimate
+   is more than five standard errors below the threshold goes. The others are
+   verified on their full sets.
 
 Defined results: a null or wordless text has the empty set (0 shingles) and is
 linked with nothing; a null doc_id cannot name a component: such a row is
@@ -47,8 +49,8 @@ BASE, RATE, TOP = 1.001, 20.0, 65_535
 BANDS, BAND_ROWS = 56, 7
 #: Registers that the likelihood reads, and standard errors that it forgives.
 ESTIMATE, FORGIVE = 128, 5.0
-#: Comparisons a member up to which all remaining pairs are compared at once; rounds of hubs at most before that.
-SLACK, ROUNDS = 4, 8
+#: Rows of a block of a group, on either side.
+BLOCK = 256
 _CHUNK = 1 << 15
 
 
@@ -178,80 +180,83 @@ def _member_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return found.mapInArrow(run, "id long, n long, registers binary, members binary")
 
 
-def _judge(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose full sets are at least ``threshold`` similar."""
-    percent = round(100 * threshold)
-
-    def likely(batches):
-        for batch in batches:
-            a, b = (np.array([np.frombuffer(x, np.uint16) for x in batch.column(k).to_pylist()]) for k in (2, 4))
-            if len(a):
-                j = estimated_jaccard(a, b, *(batch.column(k).to_numpy().astype(float) for k in (3, 5)))
-                error = np.sqrt(threshold * (1 - threshold) / a.shape[1])
-                batch = batch.filter(pa.array(j >= threshold - FORGIVE * error))
-            yield batch.select([0, 1])
-
-    def verify(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
-
-    def beside(df: DataFrame, *columns: str) -> DataFrame:
-        for end in ("a", "b"):
-            df = df.join(sets.select(F.col("id").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in columns)), end)
-        return df
+def _compare(threshold: float):
+    """Links (a, b) of one block: rows of side 0 against rows of side 1.
 
-    near = beside(pairs, "registers", "n").select("a", "b", "registers_a", "n_a", "registers_b", "n_b").mapInArrow(likely, "a long, b long")
-    near = common.materialise(near, "likely-pairs")
-    return beside(near, "members").select("a", "b", "members_a", "members_b").mapInArrow(verify, "a long, b long")
-
-
-def _ordered(a: str, b: str):
-    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+    One link from a row to a component is enough, so the others aren't made.
+    """
+    percent = round(100 * threshold)
+    floor = threshold - FORGIVE * np.sqrt(threshold * (1 - threshold) / ESTIMATE)
+
+    def run(block):
+        side, ids, part, n = (block.column(c).to_numpy() for c in ("side", "id", "part", "n"))
+        registers = np.frombuffer(b"".join(block.column("registers").to_pylist()), np.uint16).reshape(len(ids), ESTIMATE)
+        members = [np.frombuffer(x, np.uint64) for x in block.column("members").to_pylist()]
+        right = np.flatnonzero(side == 1)
+        out = []
+        for x in np.flatnonzero(side == 0).tolist():
+            fits = (part[right] != part[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))
+            near = right[fits]
+            if len(near):
+                j = estimated_jaccard(np.broadcast_to(registers[x], (len(near), ESTIMATE)), registers[near], np.full(len(near), float(n[x])), n[near].astype(float))
+                near = near[j >= floor][np.argsort(-j[j >= floor], kind="stable")]
+            done = set()
+            for y in near.tolist():
+                if part[y] not in done:
+                    both = len(np.intersect1d(members[x], members[y], assume_unique=True))
+                    if 100 * both >= percent * (n[x] + n[y] - both):
+                        done.add(part[y])
+                        out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return run
+
+
+def _compare_groups(left: DataFrame, right: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links between the left and the right rows (group, id, part) of each group.
+
+    Groups of any size are cut into blocks of about BLOCK rows on either side;
+    each pair of blocks is a task's work, and texts' sets are sent once for
+    each block, not for each pair.
+    """
+    size = lambda df, name: df.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    cuts = size(left, "left_blocks").join(size(right, "right_blocks"), "group")
+    number = lambda n: F.pmod(F.xxhash64(F.lit(5), "id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = (
+        left.join(cuts, "group").select("group", "id", "part", F.lit(0).alias("side"), number("left_blocks").alias("left_block"), every("right_blocks").alias("right_block"))
+        .unionByName(right.join(cuts, "group").select("group", "id", "part", F.lit(1).alias("side"), every("left_blocks").alias("left_block"), number("right_blocks").alias("right_block")))
+    )
+    return rows.join(sets, "id").groupBy("group", "left_block", "right_block").applyInArrow(_compare(threshold), "a long, b long")
 
 
 def _links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Roots of the classes: (id, root) for every class that is not its component's smallest."""
-    low = round(100 * threshold)
-    fits = F.expr(f"100 * least(n, other_n) >= {low} * greatest(n, other_n)")
-    roots, edges, rounds = None, None, 0
-    while True:
-        placed = members
-        if roots is not None:
-            placed = members.join(roots, "id", "left").withColumn("part", F.coalesce("root", "id")).drop("root")
-            mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
-            placed = common.materialise(placed.join(mixed, "key", "left_semi"), "mixed-keys")
-            parts = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64(F.lit(rounds), "id"), "id", "n")).alias("hub"))
-            tops = parts.groupBy("key").agg(F.max(F.struct("size", "part", "hub")).alias("top"), F.sum("size").alias("all"))
-            tops = tops.select("key", "all", F.col("top.part").alias("top_part"), (F.col("all") - F.col("top.size")).alias("outside"), F.col("top.hub.id").alias("other"), F.col("top.hub.n").alias("other_n"))
-            tops = common.materialise(tops, "key-hubs")
-            need = tops.agg(F.sum(F.col("outside") * F.col("all")), F.sum("all")).first()
-            if not need[1]:
-                return roots
-            last = need[0] <= SLACK * need[1] or rounds >= ROUNDS
-            outside = placed.join(tops, "key").filter("part <> top_part")
-            if last:
-                inside = placed.select("key", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("part").alias("other_part"))
-                found = outside.drop("other", "other_n").join(inside, "key").filter(F.col("part") != F.col("other_part")).filter(fits)
-                # Pairs of two outsiders come up from either end; distinct() takes care of them.
-            else:
-                found = outside.filter(fits)
-        else:
-            last = False
-            hubs = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("id"), "id", "n")).alias("hub"))
-            hubs = hubs.select("key", F.col("hub.id").alias("other"), F.col("hub.n").alias("other_n"))
-            found = members.join(hubs, "key").filter("id <> other").filter(fits)
-        pairs = common.materialise(found.select(*_ordered("id", "other")).distinct(), "pairs")
-        linked = common.materialise(_judge(pairs, sets, threshold), "links")
-        edges = linked if edges is None else roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(linked)
-        roots = connected_components(edges)
-        if last:
-            return roots
-        rounds += 1
+    # 1. Each key's members against its hub, the member that meets most others in all keys.
+    met = members.groupBy("id").agg(F.sum("key_rows").alias("met"))
+    met = common.materialise(members.join(met, "id").select("key", "id", "met"), "met")
+    hubs = met.groupBy("key").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("hub"))
+    pairs = met.join(hubs, "key").filter("id <> hub").select(F.col("hub").alias("group"), "id").distinct()
+    pairs = common.materialise(pairs.withColumn("part", F.col("id")), "hub-pairs")
+    own = pairs.select("group").distinct().select("group", F.col("group").alias("id"), F.col("group").alias("part"))
+    links = common.materialise(_compare_groups(own, pairs, sets, threshold), "hub-links")
+    roots = connected_components(links)
+
+    # 2. In keys with several components, what is outside the largest one against all. A
+    # group is a component with the outsiders of all keys in which it is the largest, so
+    # a pair that shares many keys is compared once.
+    placed = met.join(roots, "id", "left").select("key", "id", "met", F.coalesce("root", "id").alias("part"))
+    mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
+    placed = common.materialise(placed.join(mixed, "key", "left_semi"), "mixed-keys")
+    parts = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("rows"), F.max("met").alias("met"))
+    tops = parts.groupBy("key").agg(F.max_by("part", F.struct("rows", "met", -F.col("part"))).alias("group"))
+    outside = placed.join(tops, "key").filter(F.col("part") != F.col("group")).select("group", "id", "part").distinct()
+    outside = common.materialise(outside, "outsiders")
+    whole = placed.select("id", F.col("part").alias("group"), "part").distinct().join(outside.select("group").distinct(), "group", "left_semi")
+    more = common.materialise(_compare_groups(outside, outside.unionByName(whole.select(*outside.columns)), sets, threshold), "outsider-links")
+    if more.isEmpty():
+        return roots
+    return connected_components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
 def near_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -261,9 +266,9 @@ def near_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> Data
     full = sketches.filter("digest is not null and id is not null")
     classes = full.groupBy("digest").agg(F.min(F.struct("id", "text_hash")).alias("first"))
     classes = common.materialise(classes.select("digest", F.col("first.id").alias("id"), F.col("first.text_hash").alias("text_hash")), "classes")
-    banded = full.join(classes, ["digest", "id", "text_hash"], "left_semi").select("id", "n", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
-    members = common.materialise(banded.join(shared, "key", "left_semi"), "members")
+    banded = full.join(classes, ["digest", "id", "text_hash"], "left_semi").select("id", F.explode("keys").alias("key"))
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("key_rows")).filter("key_rows > 1")
+    members = common.materialise(banded.join(shared, "key"), "members")
     wanted = classes.join(members.select("id").distinct(), "id", "left_semi")
     sets = common.materialise(_member_sets(docs, wanted, width), "member-sets")
     roots = _links(members, sets, threshold)
