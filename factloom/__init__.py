@@ -1,0 +1 @@
+"""factloom: bi-temporal, append-only fact logs as Spark DataFrames."""
