@@ -35,18 +35,18 @@ _EP = 'committed_at {} (SELECT "at" FROM episodes WHERE episode_id = {})'
 _read("filter_subject", ReadSpec(s="user_12", limit=_ALL), f"s = 12 AND {_NOT_RETIRED}")
 _read("filter_predicate", replace(read_spec("(query :kind sem :p @click)"), limit=_ALL), f"p = 'click' AND {_NOT_RETIRED}")
 _read("filter_both", ReadSpec(kind="sem", s=12, p="click", limit=_ALL), f"s = 12 AND p = 'click' AND {_NOT_RETIRED}")
-_read("filter_alias", ReadSpec(s="alias_15", limit=_ALL), f"s = 15 AND {_NOT_RETIRED}")
-_read("filter_object", ReadSpec(o=50.0, limit=_ALL), f"o = 50.0 AND {_NOT_RETIRED}")
+_read("filter_alias", ReadSpec(s="alias_25", limit=_ALL), f"s = 25 AND {_NOT_RETIRED}")
+_read("filter_object", ReadSpec(o=45.39, limit=_ALL), f"o = 45.39 AND {_NOT_RETIRED}")
 _read("unknown_symbol_empty", ReadSpec(s="nobody", limit=_ALL), "false")
 _read("kind_epi_empty", ReadSpec(kind="epi", limit=_ALL), "false")
-_read("in_episode", ReadSpec(in_episode=900, limit=_ALL), f"{_EP.format('=', 900)} AND {_NOT_RETIRED}", "episodes")
+_read("in_episode", ReadSpec(in_episode=5213, limit=_ALL), f"{_EP.format('=', 5213)} AND {_NOT_RETIRED}", "episodes")
 _read("after_episode", ReadSpec(after_episode=500, limit=_ALL), f"{_EP.format('>', 500)} AND {_NOT_RETIRED}", "episodes")
 _read("before_episode", ReadSpec(before_episode=900, limit=_ALL), f"{_EP.format('<', 900)} AND {_NOT_RETIRED}", "episodes")
 _read("unknown_episode_empty", ReadSpec(after_episode=-7, limit=_ALL), "false")
 _read("retired_filtered", ReadSpec(limit=_ALL), _NOT_RETIRED)
 _read("retired_included", ReadSpec(include_retired=True, limit=_ALL), "NOT projected")
 
-_CHAIN = "SELECT episode_id, parent FROM episodes WHERE episode_id = 987 UNION ALL SELECT e.episode_id, e.parent FROM episodes e JOIN chain c ON e.episode_id = c.parent"
+_CHAIN = "SELECT episode_id, parent FROM episodes WHERE episode_id = 5213 UNION ALL SELECT e.episode_id, e.parent FROM episodes e JOIN chain c ON e.episode_id = c.parent"
 
 
 @query(
@@ -57,7 +57,7 @@ _CHAIN = "SELECT episode_id, parent FROM episodes WHERE episode_id = 987 UNION A
     ),
 )
 def episode_chain(spark, sf):
-    return execute(store(spark, sf), ReadSpec(episode_chain=987, limit=_ALL)).records.select(*_COLUMNS)
+    return execute(store(spark, sf), ReadSpec(episode_chain=5213, limit=_ALL)).records.select(*_COLUMNS)
 
 
 @query(
