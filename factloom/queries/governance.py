@@ -97,7 +97,7 @@ def evidence_uris(spark, sf):
     return qo.evidence(_outputs(spark, sf))
 
 
-# Extension: a tally of votes; the reference records votes and leaves the count to people.
+# Extension: a tally of votes, which are otherwise only recorded.
 @query("vote_tally", fx.with_tables("SELECT episode_id, count(*) AS votes, count(*) FILTER (confidence >= 0.5) AS agree FROM votes GROUP BY episode_id", **_Q))
 def vote_tally(spark, sf):
     return _votes(spark, sf).groupBy("episode_id").agg(F.count("*").alias("votes"), F.count_if(F.col("confidence") >= 0.5).alias("agree"))
