@@ -19,7 +19,6 @@ import base64
 import hashlib
 import sys
 from array import array
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -30,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import common
 
-#: Answers that a worker remembers, of texts up to LONG characters; about 200 MB.
-PIECES, CHUNKS, LONG = 150_000, 350_000, 64
+#: Answers that a worker remembers, of texts up to LONG characters; about 150 MB.
+PIECES, CHUNKS, LONG = 80_000, 250_000, 64
 _MASK = (1 << 64) - 1
 #: Odd 64-bit multipliers of the slot hash.
 _STEP, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -179,9 +178,8 @@ class BytePairCoder:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
 def coder(path: str, pattern: str) -> BytePairCoder:
-    return BytePairCoder(read_ranks(path), pattern)
+    return common.held_alone(("byte_bpe", path, pattern), lambda: BytePairCoder(read_ranks(path), pattern))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:

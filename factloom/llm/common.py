@@ -124,3 +124,21 @@ class Remembered:
         if len(self.young) >= self.entries:
             self.young, self.old = {}, self.young
         self.young[key] = answer
+
+
+_HELD: dict = {}
+
+
+def held_alone(key, make):
+    """What one operator keeps in a Python worker between tasks.
+
+    Workers outlive stages, so what the operator before left there goes first:
+    a worker never holds the tables of two operators.
+    """
+    if key not in _HELD:
+        for other in _HELD.values():
+            if hasattr(other, "forget"):
+                other.forget()
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]

@@ -196,7 +196,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BL
 
     def search_in(shipped):
         def run(batches):
-            index = shipped.value
+            index = common.held_alone(("benchmark", shipped.value), lambda: shipped.value)
             for batch in batches:
                 rows = [
                     (d, index.ids[k], start, int(index.n[k]), edits)
@@ -226,7 +226,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int =
     def filter_by(shipped):
         @F.pandas_udf("boolean")
         def clean(texts):
-            index = shipped.value
+            index = common.held_alone(("benchmark", shipped.value), lambda: shipped.value)
             return texts.map(lambda text: not index.search(text)).astype(bool)
 
         return clean

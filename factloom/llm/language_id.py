@@ -34,6 +34,8 @@ from . import common
 #: Bound of the training sample, in rows, and of the model, in entries.
 SAMPLE, WORDS, GRAMS = 6_000, 40_000, 40_000
 LONGEST = 5
+#: Words that a worker remembers, besides those of the text at hand.
+REMEMBERED = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -54,7 +56,11 @@ class LanguageModel:
         for kind, entry, language, n in counts:
             raw[kind].setdefault(entry, np.zeros(width))[at[language]] += n
         self.tables = [self._logs(table, width) for table in raw]
-        self.rows = np.zeros((1024, width))
+        self.forget()
+
+    def forget(self) -> None:
+        """Let go of the words remembered."""
+        self.rows = np.zeros((1024, len(self.languages)))
         self.index: dict[str, int] = {}
 
     @staticmethod
@@ -76,8 +82,6 @@ class LanguageModel:
         return found - found.max()
 
     def _row(self, word: str) -> int:
-        if len(self.index) >= 300_000:
-            self.index.clear()
         at = len(self.index)
         if at >= len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
@@ -89,8 +93,8 @@ class LanguageModel:
         words = _WORD.findall(text.lower()) if text else []
         if not words or not self.languages:
             return UNKNOWN, 0.0
-        if len(self.index) + len(words) >= 300_000:
-            self.index.clear()
+        if len(self.index) >= REMEMBERED:
+            self.forget()
         get, row = self.index.get, self._row
         at = [row(w) if (i := get(w)) is None else i for w in words]
         evidence = self.rows[at].sum(axis=0)
@@ -139,7 +143,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        own = shipped.value
+        own = common.held_alone(("language", shipped.value), lambda: shipped.value)
         for batch in batches:
             found = [own.predict(text) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
@@ -155,7 +159,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def told(texts):
-        own = shipped.value
+        own = common.held_alone(("language", shipped.value), lambda: shipped.value)
         return texts.map(lambda text: own.predict(text)[0] != UNKNOWN).astype(bool)
 
     return docs.filter(told("text"))

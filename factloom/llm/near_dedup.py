@@ -137,6 +137,7 @@ def _sketch_documents(docs: DataFrame, width: int) -> DataFrame:
     """id, text hash, set size, set digest (null if empty) and band keys of every row."""
 
     def run(batches):
+        common.held_alone("near_dedup", dict)
         for batch in batches:
             sets = [shingle_set(text, width) for text in batch.column(2).to_pylist()]
             full = [s for s in sets if len(s)]
@@ -161,6 +162,7 @@ def _member_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """id, set size, registers and full set of the classes that share a key."""
 
     def run(batches):
+        common.held_alone("near_dedup", dict)
         for batch in batches:
             ids, sets = [], []
             for i, text, digest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
@@ -189,6 +191,7 @@ def _compare(threshold: float):
     floor = threshold - FORGIVE * np.sqrt(threshold * (1 - threshold) / ESTIMATE)
 
     def run(block):
+        common.held_alone("near_dedup", dict)
         side, ids, part, n = (block.column(c).to_numpy() for c in ("side", "id", "part", "n"))
         registers = np.frombuffer(b"".join(block.column("registers").to_pylist()), np.uint16).reshape(len(ids), ESTIMATE)
         members = [np.frombuffer(x, np.uint64) for x in block.column("members").to_pylist()]

@@ -82,7 +82,7 @@ class Lexicon:
 
     def features(self, text: str) -> np.ndarray:
         words = _WORD.findall(text.lower())
-        if len(self.index) + len(words) > 400_000:
+        if len(self.index) > 200_000:
             self.forget()
         get, add = self.index.get, self._add
         at = np.array([add(w) if (i := get(w)) is None else i for w in words], dtype=np.int64)
@@ -121,6 +121,9 @@ class ToxicityModel:
         if 0 < self.rate < 1:
             self.trees, self.calibration = fit_calibrated(x, y)
 
+    def forget(self) -> None:
+        self.lexicon.forget()
+
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.trees is None:
             return np.full(len(texts), self.rate)
@@ -180,7 +183,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        own = shipped.value
+        own = common.held_alone(("toxicity", shipped.value), lambda: shipped.value)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.score(batch.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
