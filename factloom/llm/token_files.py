@@ -19,10 +19,10 @@ from __future__ import annotations
 
 import json
 import os
-import re
-import struct
+import string
+import sys
 import zlib
-from functools import lru_cache
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +36,6 @@ END_ID = 2
 REMEMBERED = 400_000
 
 
-#: A full stop or comma between a letter and a space is a match of its own for the splitter.
-_STOP = re.compile(r"(?<=[^\W\d_])([.,])(?= |$)")
-
-
 def _byte_letters() -> dict[int, str]:
     """Byte-level BPE's letters: printable Latin-1 stands for itself, other bytes for 256, 257, ..."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -52,10 +48,10 @@ class WordCoder:
     The vocabulary's normaliser and splitter never join across a space and
     drop it, so the ids of a text are those of its words in turn. In Latin-1
     texts no character composes with another and lower case is letter by
-    letter, so these are lower-cased first and get a space before a full stop
-    or comma that ends a word: fewer words are new. A new word of letters is
-    one match of the splitter and goes to the library's BPE model at once;
-    any other word takes the library's whole path.
+    letter, so these are lower-cased first: fewer words are new. A new word of
+    letters is one match of the splitter and goes to the library's BPE model
+    at once; a run of ASCII signs behind it is the splitter's next match. Any
+    other word takes the library's whole path.
 
     All that holds for a tokenizer of the description checked below; with any
     other one, whole texts are encoded.
@@ -81,60 +77,87 @@ class WordCoder:
         self.special = [x["content"] for x in made.get("added_tokens", [])]
         self.letters = _byte_letters()
         self.model = self.tokenizer.model.tokenize
-        self.words = common.Remembered(REMEMBERED)
+        self.words = _Words(self._word)
+        self.tails: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, text: str) -> list[str]:
+        return [_packed(x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, word: str) -> bytes | None:
+        """Ids of a lower-case word of Latin-1 letters; null for any other word."""
+        if not word.isalpha():
+            return None
+        if not word.isascii():
+            if max(word) >= "\u0100":
+                return None
+            plain, word = word, word.encode().decode("latin-1").translate(self.letters)
+            if plain != plain.lower():
+                return None
+        elif not word.islower():
+            return None
+        return _packed([x.id for x in self.model(word)])
+
+    def _tail(self, tail: str) -> bytes:
+        ids = self.tails.get(tail)
+        if ids is None:
+            ids = self._whole([tail])[0]
+            if len(self.tails) < 10_000 and len(tail) < 16:
+                self.tails[tail] = ids
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        stem = word.rstrip(string.punctuation)
+        ids = self._letters(stem)
+        if ids is None:
+            return self._whole([word])[0]
+        return ids + self._tail(word[len(stem) :]) if len(stem) < len(word) else ids
+
+    def _split(self, text: str) -> list[str]:
         text = text.replace("\n", " ")
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
             return text.split(" ")
-        # A special token's string may hold capitals or stops of its own.
+        # A special token's string may hold capitals of its own.
         if any(x in text for x in self.special):
             return text.split(" ")
-        return _STOP.sub(r" \1", text.lower()).split(" ")
-
-    def _learn(self, words: set[str]) -> None:
-        table, found, rest = self.words, {}, []
-        for word in words:
-            if (ids := table.old.get(word)) is not None:
-                found[word] = ids
-            elif word.isalpha() and word.islower() and word.isascii():
-                found[word] = _packed([x.id for x in self.model(word)])
-            elif word.isalpha() and max(word) < "\u0100" and word == word.lower():
-                found[word] = _packed([x.id for x in self.model(word.encode().decode("latin-1").translate(self.letters))])
-            else:
-                rest.append(word)
-        for at in range(0, len(rest), 4096):
-            part = rest[at : at + 4096]
-            found.update(zip(part, self._whole(part)))
-        if len(table.young) + len(found) > table.entries:
-            table.young, table.old = {}, table.young
-        table.young.update(found)
+        return text.lower().split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._whole(texts)
-        split = [self._words(text) for text in texts]
-        asked = set().union(*split)
-        young = self.words.young
-        self._learn(asked.difference(young))
-        if self.words.young is not young:  # the table was turned over
-            self._learn(asked.difference(self.words.young))
-        of = self.words.young.__getitem__
-        return [b"".join(map(of, words)) for words in split]
+        of = self.words.__getitem__
+        return [b"".join(map(of, self._split(text))) for text in texts]
+
+
+class _Words(dict):
+    """Ids by word, asked for when first met; a bounded table in two halves."""
+
+    def __init__(self, ask):
+        super().__init__()
+        self.ask, self.old = ask, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.ask(word)
+        if len(word) < 64:
+            if len(self) >= REMEMBERED:
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
 
 
 def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
 
 
-@lru_cache(maxsize=2)
 def coder(path: str) -> WordCoder:
-    return WordCoder(path)
+    return common.held_alone(("token_files", path), lambda: WordCoder(path))
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) -> None:
