@@ -29,7 +29,7 @@ def write_drafts(drafts: DataFrame, folder: str) -> None:
 
 def sweep(spark: SparkSession, folder: str) -> DataFrame:
     """(path, raw_text) of every text file below ``folder`` that isn't blank."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", SWEPT).text(folder)
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=SWEPT)
     return files.select(F.input_file_name().alias("path"), F.col("value").alias("raw_text")).filter(F.regexp_replace("raw_text", r"^\s+|\s+$", "") != "")
 
 
