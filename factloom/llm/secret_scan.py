@@ -7,6 +7,9 @@ inside base64. Each layer is scanned and unwrapped in turn until nothing new
 comes up; layers are remembered by content, so a cycle ends. A secret found in
 a layer is reported at the span of the outermost encoded piece of the text.
 
+Decoded bytes are scanned whatever they are: binary parts between texts, other
+encodings and archives hide nothing.
+
 Defined results: a null text is empty; offsets are code points, ends exclusive;
 an added span that repeats a span of the text itself is reported once;
 compressed bytes are unwrapped up to ``LAYER_BYTES`` (a guard against
@@ -57,14 +60,16 @@ def scan(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
-def _readable(raw: bytes) -> str | None:
-    """Bytes as text if they are UTF-8 and nearly all printable."""
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    odd = sum(1 for c in text[:4096] if not (c.isprintable() or c in "\t\r\n"))
-    return text if text and odd * 20 <= min(len(text), 4096) else None
+def _texts(raw: bytes) -> Iterator[str]:
+    """Bytes as texts: as UTF-8, and where NULs stand in them as UTF-16 of either byte order from either byte.
+
+    Undecodable bytes become a replacement character, which is part of no secret and ends any.
+    """
+    yield raw.decode(errors="replace")
+    if b"\0" in raw:
+        for first in (0, 1):
+            for order in ("utf-16-le", "utf-16-be"):
+                yield raw[first:].decode(order, "replace")
 
 
 def _inflate(raw: bytes) -> bytes | None:
@@ -87,8 +92,9 @@ def unwrap(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, decoded text) of every encoded piece of ``text``."""
     if "%" in text:
         for m in _PERCENT.finditer(text):
-            if (plain := _readable(unquote_to_bytes(m.group()))) is not None and plain != m.group():
-                yield m.start(), m.end(), plain
+            for plain in _texts(unquote_to_bytes(m.group())):
+                if plain != m.group():
+                    yield m.start(), m.end(), plain
     if "\\u" in text or "\\x" in text or "&#" in text:
         for m in _ESCAPED.finditer(text):
             if (plain := _unescape(m.group())) != m.group():
@@ -102,8 +108,7 @@ def unwrap(text: str) -> Iterator[tuple[int, int, str]]:
             raw = base64.b64decode(piece.replace("-", "+").replace("_", "/") + "=" * (-len(piece) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        plain = _readable(inflated if (inflated := _inflate(raw)) is not None else raw)
-        if plain is not None:
+        for plain in _texts(inflated if (inflated := _inflate(raw)) is not None else raw):
             yield m.start(), m.end(), plain
 
 
