@@ -12,20 +12,25 @@ encodings and archives hide nothing.
 
 Defined results: a null text is empty; offsets are code points, ends exclusive;
 an added span that repeats a span of the text itself is reported once;
-compressed bytes are unwrapped up to ``LAYER_BYTES`` (a guard against
-decompression bombs: such a layer is scanned as far as that); repeated rows
-are scanned each; an empty table gives no rows.
+compressed bytes are inflated to their end, member by member; what is behind
+them, or doesn't inflate, is scanned as it is; repeated rows are scanned each;
+an empty table gives no rows.
+
+Long layers are decoded in chunks and cut only where no secret and no encoded
+piece can lie across, so memory grows with the longest run without such a
+place and not with the layer.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import hashlib
 import html
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
@@ -34,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common
 
 KINDS = ("assign", "access", "hex")
-LAYER_BYTES = 32 << 20
+CHUNK = 1 << 20
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -60,25 +65,72 @@ def scan(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
-def _texts(raw: bytes) -> Iterator[str]:
-    """Bytes as texts: as UTF-8, and where NULs stand in them as UTF-16 of either byte order from either byte.
+# Characters that stay what they are in every deeper layer and are part of no secret; a space between words likewise.
+_CUT = re.compile(r"""[^A-Za-z0-9+/_.=:"'%\\&#;\t\r\n\x20-]|(?<=[A-Za-z0-9_])\x20(?=[A-Za-z0-9_])""")
 
-    Undecodable bytes become a replacement character, which is part of no secret and ends any.
-    """
-    yield raw.decode(errors="replace")
-    if b"\0" in raw:
-        for first in (0, 1):
-            for order in ("utf-16-le", "utf-16-be"):
-                yield raw[first:].decode(order, "replace")
 
+class _Decoder:
+    """Bytes to texts that end where a cut loses nothing."""
+
+    def __init__(self, encoding: str):
+        self.decode = codecs.getincrementaldecoder(encoding)("replace").decode
+        self.held: list[str] = []
+        self.size = 0
+
+    def feed(self, raw: bytes, final: bool = False) -> str:
+        text = self.decode(raw, final)
+        self.size += len(text)
+        self.held.append(text)
+        cut = len(text) if final else 0
+        for width in (1 << 12, len(text)):
+            if self.size >= CHUNK and not cut:
+                cut = max((m.start() for m in _CUT.finditer(text, max(0, len(text) - width))), default=0)
+        if not cut and not final:
+            return ""
+        out = "".join(self.held)
+        self.held, self.size = [text[cut:]], len(text) - cut
+        return out[: len(out) - self.size]
 
-def _inflate(raw: bytes) -> bytes | None:
-    if raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0):
+
+def _texts(chunks: Iterable[bytes]) -> Iterator[str]:
+    """Bytes as texts: as UTF-8, and from the first NUL on as UTF-16 of either byte order from either byte.
+
+    Undecodable bytes become a replacement character, which is part of no secret and ends any.
+    """
+    streams, before = [_Decoder("utf-8")], b""
+    for chunk in chunks:
+        fed = [chunk]
+        if len(streams) == 1 and b"\0" in chunk:
+            streams += [_Decoder(order) for _ in range(2) for order in ("utf-16-le", "utf-16-be")]
+            whole = before + chunk
+            fed += [whole, whole, whole[1:], whole[1:]]
+        for k, stream in enumerate(streams):
+            if text := stream.feed(fed[k] if len(fed) > 1 else chunk):
+                yield text
+        before = chunk[-1:] or before
+    for stream in streams:
+        if text := stream.feed(b"", final=True):
+            yield text
+
+
+def _compressed(raw: bytes) -> bool:
+    return raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0)
+
+
+def _inflate(raw: bytes) -> Iterator[bytes]:
+    """Compressed members one after another, in chunks; the rest, and what fails to inflate, as it is."""
+    while _compressed(raw):
+        stream = zlib.decompressobj(47)
         try:
-            return zlib.decompressobj(47).decompress(raw, LAYER_BYTES)
+            left = raw
+            while (piece := stream.decompress(left, CHUNK)) or stream.unconsumed_tail:
+                yield piece
+                left = stream.unconsumed_tail
         except zlib.error:
-            return None
-    return None
+            break
+        raw = stream.unused_data
+    if raw:
+        yield raw
 
 
 def _unescape(piece: str) -> str:
@@ -92,7 +144,7 @@ def unwrap(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, decoded text) of every encoded piece of ``text``."""
     if "%" in text:
         for m in _PERCENT.finditer(text):
-            for plain in _texts(unquote_to_bytes(m.group())):
+            for plain in _texts([unquote_to_bytes(m.group())]):
                 if plain != m.group():
                     yield m.start(), m.end(), plain
     if "\\u" in text or "\\x" in text or "&#" in text:
@@ -108,7 +160,7 @@ def unwrap(text: str) -> Iterator[tuple[int, int, str]]:
             raw = base64.b64decode(piece.replace("-", "+").replace("_", "/") + "=" * (-len(piece) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        for plain in _texts(inflated if (inflated := _inflate(raw)) is not None else raw):
+        for plain in _texts(_inflate(raw)):
             yield m.start(), m.end(), plain
 
 
@@ -118,10 +170,18 @@ def find_secrets(text: str | None) -> tuple[list[tuple[int, int, int, str]], lis
     base = scan(text)
     known = {x[:3] for x in base}
     added: dict[tuple[int, int, int], str] = {}
-    work = [(start, end, plain) for start, end, plain in unwrap(text)]
+    # Layers come up one at a time: of a long layer only a part is held.
+    work = [unwrap(text)]
     seen: set[tuple[int, bytes]] = set()
+    outer: tuple[int, int] = (0, 0)
     while work:
-        start, end, layer = work.pop()
+        if (piece := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        if len(work) == 1:
+            outer = piece[:2]
+        start, end = outer
+        layer = piece[2]
         mark = (start, hashlib.blake2b(layer.encode("utf-8", "surrogatepass"), digest_size=16).digest())
         if mark in seen:
             continue
@@ -131,7 +191,7 @@ def find_secrets(text: str | None) -> tuple[list[tuple[int, int, int, str]], lis
             # What stands in the text unchanged has been reported where it stands.
             if span not in known and not any(k == kind and start <= s and e <= end and v == value for s, k, e, v in base):
                 added.setdefault(span, value)
-        work += [(start, end, plain) for _, _, plain in unwrap(layer) if plain != layer]
+        work.append(unwrap(layer))
     return base, [(*span, value) for span, value in sorted(added.items())]
 
 

@@ -1,8 +1,10 @@
 """Inputs that the operators once left out."""
 
 import base64
+import gzip
 import io
 import tarfile
+import zlib
 
 from factloom.llm import secret_scan
 
@@ -29,3 +31,21 @@ def test_secrets_in_layers_that_are_not_plain_utf8():
     assert kinds("q=caf%E9&password%3Dhunter2222") == [0]
     assert kinds(pack(b"\x01" * 5000 + b"password=hunter2222")) == [0]
     assert secret_scan.find_secrets(pack(b"\xff\xfe nothing here \x00\x01" * 20)) == ([], [])
+
+
+def test_secrets_behind_long_layers_and_in_later_members():
+    secret = b"password=hunter2222"
+    line = "2024-01-01 é some line of a log, nothing in it\n".encode()
+    # Beyond 32 MB, and with chunks that end inside a character.
+    assert kinds(pack(gzip.compress(line * 750_000 + secret + b"\n" + line, 1))) == [0]
+    assert kinds(pack(gzip.compress(b"nothing") + gzip.compress(secret))) == [0] == kinds(pack(zlib.compress(b"nothing") + secret))
+    assert kinds(pack(gzip.compress(b"\0" * (33 << 20) + secret, 1)[:-8])) == [0]
+
+
+def test_secrets_across_the_ends_of_chunks():
+    for shift in range(-24, 4):
+        for encoding in ("utf-8", "utf-16-le", "utf-16-be"):
+            raw = ("é, " * secret_scan.CHUNK).encode(encoding)[: secret_scan.CHUNK + shift]
+            inner = "password" + "".join(f"%{b:02x}" for b in b"=hunter2222") + " , "
+            found = secret_scan.find_secrets(pack(gzip.compress(raw + inner.encode(encoding) + raw, 1)))[1]
+            assert "password=hunter2222" in {value for *_, value in found}, (shift, encoding)
