@@ -2,8 +2,8 @@
 
 Every text is scanned for three kinds: assignments of credentials, access key
 ids, and long hexadecimal runs. Then a worklist unwraps what is encoded in it:
-percent-encoded tokens, Unicode escapes, base64 runs, and compressed bytes
-inside base64. Each layer is scanned and unwrapped in turn until nothing new
+percent-encoded tokens, Unicode escapes, base64 runs, also over line
+breaks, and compressed bytes inside base64. Each layer is scanned and unwrapped in turn until nothing new
 comes up; layers are remembered by content, so a cycle ends. A secret found in
 a layer is reported at the span of the outermost encoded piece of the text.
 
@@ -24,7 +24,6 @@ place and not with the layer.
 from __future__ import annotations
 
 import base64
-import binascii
 import codecs
 import hashlib
 import html
@@ -49,7 +48,12 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _PERCENT = re.compile(r"[^\s\"'<>]*%[0-9A-Fa-f]{2}[^\s\"'<>]*")
 _ESCAPED = re.compile(r"[^\s\"'<>]*(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#x?[0-9A-Fa-f]+;)[^\s\"'<>]*")
 _UNIT = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+# 12 bytes, the shortest secret, are 16 characters.
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_RUN, _BREAK = "[A-Za-z0-9+/_-]", r"(?:\r\n?|\n|\\r\\n|\\n)[\x20\t]*"
+# Runs over line breaks: the first and the last line may be short. No backtracking into a run.
+_WRAPPED = re.compile(rf"(?<!{_RUN})(?:{_RUN}++(?:{_BREAK}{_RUN}{{16,}}+)++(?:{_BREAK}{_RUN}++)?|{_RUN}{{16,}}+{_BREAK}{_RUN}++)={{0,2}}")
+_LINE_END = re.compile(_BREAK)
 
 
 def scan(text: str) -> list[tuple[int, int, int, str]]:
@@ -152,16 +156,48 @@ def unwrap(text: str) -> Iterator[tuple[int, int, str]]:
             if (plain := _unescape(m.group())) != m.group():
                 yield m.start(), m.end(), plain
     for m in _BASE64.finditer(text):
-        piece = m.group().rstrip("=")
-        # Prose has no capitals, digits or signs inside its long words; base64 has them nearly always.
-        if piece.islower() and piece.isalpha():
-            continue
-        try:
-            raw = base64.b64decode(piece.replace("-", "+").replace("_", "/") + "=" * (-len(piece) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        for plain in _texts(_inflate(raw)):
+        for plain in _texts(_inflate(_unbase64(m.group()))):
             yield m.start(), m.end(), plain
+    if "\n" in text or "\r" in text or "\\n" in text:
+        for m in _WRAPPED.finditer(text):
+            yield from _unwrap_lines(m)
+
+
+def _unbase64(piece: str) -> bytes:
+    piece = piece.rstrip("=")
+    # Prose has no capitals, digits or signs inside its long words; base64 has them nearly always.
+    if piece.islower() and piece.isalpha():
+        return b""
+    piece = piece[: len(piece) - (len(piece) % 4 == 1)]
+    return base64.b64decode(piece.replace("-", "+").replace("_", "/") + "=" * (-len(piece) % 4))
+
+
+def _unwrap_lines(m: re.Match) -> Iterator[tuple[int, int, str]]:
+    """The lines of a wrapped run as one piece.
+
+    Words may stand before the encoded lines, so each of the four ways to count off groups of four characters is
+    tried from the first line that gives it, and every line that opens compressed bytes.
+    """
+    starts, lines, at = [], [], m.start()
+    for brk in [*_LINE_END.finditer(m.group()), None]:
+        starts.append(at)
+        lines.append(m.string[at : m.start() + brk.start() if brk else m.end()])
+        at = m.start() + brk.end() if brk else at
+    joined, offset, tried = "".join(lines), 0, set()
+    for start, line in zip(starts, lines):
+        if offset % 4 not in tried or _opens(line):
+            tried.add(offset % 4)
+            for plain in _texts(_inflate(_unbase64(joined[offset:]))):
+                yield start, m.end(), plain
+        offset += len(line)
+
+
+def _opens(line: str) -> bool:
+    head = _unbase64(line[:64])
+    try:
+        return _compressed(head) and zlib.decompressobj(47).decompress(head) is not None
+    except zlib.error:
+        return False
 
 
 def find_secrets(text: str | None) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, int, int, str]]]:
@@ -174,6 +210,9 @@ def find_secrets(text: str | None) -> tuple[list[tuple[int, int, int, str]], lis
     work = [unwrap(text)]
     seen: set[tuple[int, bytes]] = set()
     outer: tuple[int, int] = (0, 0)
+    # Secrets of the lines of wrapped runs: the whole run, which comes later, doesn't repeat them.
+    wrapped = bool(_WRAPPED.search(text))
+    single: dict[tuple[int, str], list[tuple[int, int]]] = {}
     while work:
         if (piece := next(work[-1], None)) is None:
             work.pop()
@@ -190,7 +229,11 @@ def find_secrets(text: str | None) -> tuple[list[tuple[int, int, int, str]], lis
             span = (start, kind, end)
             # What stands in the text unchanged has been reported where it stands.
             if span not in known and not any(k == kind and start <= s and e <= end and v == value for s, k, e, v in base):
+                if any(start <= s and e <= end and (s, e) != outer for s, e in single.get((kind, value), ())):
+                    continue
                 added.setdefault(span, value)
+                if wrapped:
+                    single.setdefault((kind, value), []).append(outer)
         work.append(unwrap(layer))
     return base, [(*span, value) for span, value in sorted(added.items())]
 

@@ -3,6 +3,7 @@
 import base64
 import gzip
 import io
+import random
 import tarfile
 import zlib
 
@@ -49,3 +50,24 @@ def test_secrets_across_the_ends_of_chunks():
             inner = "password" + "".join(f"%{b:02x}" for b in b"=hunter2222") + " , "
             found = secret_scan.find_secrets(pack(gzip.compress(raw + inner.encode(encoding) + raw, 1)))[1]
             assert "password=hunter2222" in {value for *_, value in found}, (shift, encoding)
+
+
+def test_secrets_in_short_and_in_wrapped_base64():
+    for secret in ("token=abcdef", "secret=abcdef", "api_key=abcdef", "password:abcdef"):
+        assert kinds(pack(secret.encode())) == kinds(pack(secret.encode()).replace("=", "")) == [0]
+    draw = random.Random(3)
+    noise = "".join(draw.choice("abcdefghij ,.\n") for _ in range(3000))
+    for raw in (f"{noise[:70]}password=hunter2222{noise}".encode(), gzip.compress(f"{noise}password=hunter2222".encode()), zlib.compress(noise.encode() + b" token=abcdef")):
+        whole = base64.b64encode(raw).decode()
+        for width in (64, 76):
+            for line_end in ("\n", "\r\n", "\n    ", "\\n"):
+                block = line_end.join(whole[k : k + width] for k in range(0, len(whole), width))
+                for before in ("data: ", "-----BEGIN-----\n", "a word\n", "some words\n", "Authorization: "):
+                    assert kinds(f"{before}{block}\nnext line") == [0], (width, line_end, before)
+    # What one line holds is reported at that line, once.
+    lines = [base64.b64encode(b"password=hunter%05d" % k).decode() for k in range(3)]
+    spans = secret_scan.find_secrets("\n".join(lines))[1]
+    assert [(s, e) for s, _, e, _ in spans] == [(len(x + "\n") * k, len(x + "\n") * k + len(x)) for k, x in enumerate(lines)]
+    # A secret over two lines is reported whole, at the run; what a line holds of it may stand at the line as well.
+    found = secret_scan.find_secrets(base64.encodebytes(b"-" * 40 + b" password=hunter2222 " + b"-" * 40).decode())[1]
+    assert "password=hunter2222" in {value for *_, value in found}
