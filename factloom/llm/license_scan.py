@@ -3,8 +3,10 @@
 A text is lower-cased in A-Z and cut into words, runs of ASCII letters and
 digits and of non-ASCII characters; rules are regular expressions over the
 words joined by single spaces, so punctuation, case and line ends don't
-matter. A rule is tried only if its keyword occurs (and none is, if no general
-hint of a license does). Detections are spans of words with a priority; one
+matter. A rule is tried only if its keyword occurs, words that stand in each of
+its matches. Names that are plain words or products as well ("the general
+public", "Python 2") count in a text that hints at a license somewhere, and
+after "under" in any. Detections are spans of words with a priority; one
 that lies inside an accepted detection of the same or a higher priority is
 suppressed, so "gnu lesser general public license" is not reported as the
 general one, and a bare "apache license" not beside its version 2.
@@ -32,7 +34,7 @@ _SPLIT = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122
 #: Phrases and labels of the contract.
 BASE = ((b"under the mit license", "mit"), (b"apache license version 2", "apache-2"), (b"cc by nc", "cc-by-nc"))
 
-#: Without any of these no rule can match.
+#: A text with any of these speaks of licenses; only rules of _PLAIN names ask for it.
 HINTS = (b"licen", b"copyright", b"spdx", b"gpl", b"public domain", b"cc by", b"cc0", b"creative commons", b"redistribution", b"permission is hereby", b"all rights reserved", b"unlicense", b"proprietary")
 
 
@@ -41,10 +43,21 @@ class Rule(NamedTuple):
     label: str
     keyword: bytes
     pattern: re.Pattern
+    hinted: bool = False
 
 
 _GRANT = r"(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?"
 
+_DATE = r"(?:[0-3]?\d(?:st|nd|rd|th)? (?:of )?(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*|(?:19|20)\d\d)(?!\S)"
+
+# Products with versions of their own, and names that without a version are plain words, products or owners.
+_PRODUCTS = {"boost", "python", "php", "unicode", "elastic", "libpng"}
+_PLAIN = _PRODUCTS | {
+    "apache", "apache software", "general public", "common public", "berkeley software distribution", "freebsd", "original bsd", "internet systems consortium", "zlib libpng",
+    "artistic", "boost software", "python software foundation", "postgresql", "openssl", "w3c software", "open font", "open software", "academic free", "microsoft public",
+    "open database", "business source", "polyform", "educational community", "q public", "ibm public",
+}
+
 # Families: label, names of the license in words, versions ("" for none).
 _FAMILIES = (
     ("mit", ("mit", "mit x11", "expat"), ("",)),
@@ -123,9 +136,9 @@ _SENTENCES = (
     ("bsd-4-clause", b"advertising", "all advertising materials mentioning features or use of this software must display the following"),
     ("apache-2", b"apache org licenses", "www apache org licenses license 2 0"),
     ("apache-2", b"compliance with the license", "you may not use this file except in compliance with the license"),
-    ("gpl", b"free software", "you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", b"free software", "you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
-    ("agpl", b"free software", "you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("gpl", b"you can redistribute", "you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("lgpl", b"you can redistribute", "you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("agpl", b"you can redistribute", "you can redistribute it and or modify it under the terms of the gnu affero general public license"),
     ("gpl", b"any later version", "either version [123] of the license or at your option any later version"),
     ("mpl-2.0", b"mozilla public", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("zlib", b"as is without", "this software is provided as is without any express or implied warranty in no event"),
@@ -145,25 +158,29 @@ def rules() -> tuple[Rule, ...]:
     """Every rule, highest priority first; longer names and versions come before shorter ones."""
     made: list[Rule] = []
 
-    def add(priority: int, label: str, keyword: str | bytes, pattern: str) -> None:
+    def add(priority: int, label: str, keyword: str | bytes, pattern: str, hinted: bool = False) -> None:
         key = keyword if isinstance(keyword, bytes) else keyword.encode()
-        made.append(Rule(priority, label, key, re.compile(rf"(?<!\S)(?:{pattern})(?!\S)".encode())))
+        made.append(Rule(priority, label, key, re.compile(rf"(?<!\S)(?:{pattern})(?!\S)".encode()), hinted))
 
     for family, names, versions in _FAMILIES:
         for version in versions:
             label = family if not version else f"{family}-{'.'.join(version.split())}"
             label = {"apache-2.0": "apache-2"}.get(label, label)
-            # "2" also stands for "2 0" and the reverse, but never for "2 1".
-            v = rf" (?:licen[sc]e )?(?:version |ver |v |v)?{version}(?! \d)" if version else ""
+            # "2" also stands for "2 0" and the reverse, but never for "2 1"; a date may follow.
+            v = rf" (?:licen[sc]e )?(?:version |ver |v |v)?{version}(?! (?!{_DATE})\d)" if version else ""
             for name in names:
-                first = name.split()[0]
                 long = "licen[sc]e" if len(name) < 6 or name in ("python", "elastic", "unicode", "openssl") else "(?:licen[sc]e)?"
+                plain = name in (_PRODUCTS if version else _PLAIN)
                 if version:
-                    add(72 + len(name.split()), label, first, rf"(?:{_GRANT})?(?:the )?{name}{v}(?: or (?:any )?later(?: version)?)?")
-                    add(80, label, "spdx", rf"spdx license identifier {name}{v}(?: or later| only)?")
+                    priority, pattern = 72 + len(name.split()), rf"(?:{_GRANT})?(?:the )?{name}{v}(?: or (?:any )?later(?: version)?)?"
+                    add(80, label, f"spdx license identifier {name}", rf"spdx license identifier {name}{v}(?: or later| only)?")
                 else:
-                    add(40 + 2 * len(name.split()), label, first, rf"(?:the )?{name} {long}".replace(" (?:licen[sc]e)?", "(?: licen[sc]e)?"))
-                    add(70, label, "licen", rf"{_GRANT}{name} licen[sc]e")
+                    priority, pattern = 40 + 2 * len(name.split()), rf"(?:the )?{name} {long}".replace(" (?:licen[sc]e)?", "(?: licen[sc]e)?")
+                    add(70, label, name, rf"{_GRANT}{name} licen[sc]e")
+                    add(79, label, f"spdx license identifier {name}", rf"spdx license identifier {name}")
+                add(priority, label, name, pattern, plain)
+                if plain:
+                    add(priority, label, name, rf"under (?:the )?(?:terms of )?{pattern}")
     for label, short, long in _COMMONS:
         for version in ("", "1 0", "2 0", "2 5", "3 0", "4 0"):
             full = label if not version else f"{label}-{version.replace(' ', '.')}"
@@ -175,6 +192,12 @@ def rules() -> tuple[Rule, ...]:
     return tuple(sorted(made, key=lambda r: (-r.priority, -len(r.pattern.pattern), r.label)))
 
 
+@lru_cache(maxsize=1)
+def _by_first_word() -> tuple[tuple[bytes, Rule], ...]:
+    """The rules behind the first word of their keyword; keywords are whole words."""
+    return tuple((rule.keyword.split()[0], rule) for rule in rules())
+
+
 class Detection(NamedTuple):
     first_word: int
     last_word: int
@@ -199,11 +222,10 @@ def base_places(joined: bytes) -> list[tuple[int, str]]:
 
 def detect(joined: bytes) -> list[Detection]:
     """Detections of the rules that survive suppression, by place."""
-    if not any(hint in joined for hint in HINTS):
-        return []
+    words, hinted = set(joined.split()), any(hint in joined for hint in HINTS)
     kept: list[tuple[int, int, Rule]] = []
-    for rule in rules():
-        if rule.keyword in joined:
+    for first, rule in _by_first_word():
+        if first in words and (hinted or not rule.hinted) and rule.keyword in joined:
             for m in rule.pattern.finditer(joined):
                 start, end = m.span()
                 if not any(s <= start and end <= e and r.priority >= rule.priority for s, e, r in kept):

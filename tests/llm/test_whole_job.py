@@ -7,7 +7,7 @@ import random
 import tarfile
 import zlib
 
-from factloom.llm import secret_scan
+from factloom.llm import license_scan, secret_scan
 
 
 def kinds(text):
@@ -71,3 +71,27 @@ def test_secrets_in_short_and_in_wrapped_base64():
     # A secret over two lines is reported whole, at the run; what a line holds of it may stand at the line as well.
     found = secret_scan.find_secrets(base64.encodebytes(b"-" * 40 + b" password=hunter2222 " + b"-" * 40).decode())[1]
     assert "password=hunter2222" in {value for *_, value in found}
+
+
+def labels(text):
+    return {d.label for d in license_scan.scan_text(text)[2]}
+
+
+def test_licenses_without_the_word():
+    want = {
+        "Released under Apache 2.0": "apache-2", "under MPL 2.0": "mpl-2.0", "Eclipse Public v2.0": "epl-2.0", "BSD 3-Clause": "bsd-3-clause", "under Python 2.0": "python-2.0", "Artistic 2.0": "artistic-2.0", "Academic Free v3.0": "afl-3.0",
+        "This software is provided 'as-is', without any express or implied warranty. In no event": "zlib", "you can buy me a beer in return": "beerware",
+        "you just DO WHAT THE FUCK YOU WANT TO.": "wtfpl", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc",
+        "Neither the name of the owner nor the names of its contributors may be used to endorse or promote": "bsd-3-clause",
+        "GNU General Public License Version 3, 29 June 2007": "gpl-3", "GPL v2, 1991": "gpl-2",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License": "gpl",
+    }
+    want |= {f"SPDX-License-Identifier: {name}": name.lower() for name in ("MIT", "ISC", "Zlib", "curl", "MIT-0", "BSD-2-Clause")}
+    assert {text: labels(text) for text in want} == {text: {label} for text, label in want.items()}
+    assert labels("the general public likes Python 2, boost 1.0 and artistic open software") == set()
+    assert labels("GPL 2.1 2010") == set() and labels("LGPL 2.1, 3 May 1999") == {"lgpl-2.1"}
+
+
+def test_every_license_match_holds_its_keyword():
+    for rule in license_scan.rules():
+        assert rule.keyword in rule.pattern.pattern.replace(b"(?:", b"").replace(b"[sc]", b"s"), rule
