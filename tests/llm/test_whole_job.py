@@ -7,7 +7,7 @@ import random
 import tarfile
 import zlib
 
-from factloom.llm import license_scan, secret_scan
+from factloom.llm import decontamination, license_scan, secret_scan
 
 
 def kinds(text):
@@ -95,3 +95,42 @@ def test_licenses_without_the_word():
 def test_every_license_match_holds_its_keyword():
     for rule in license_scan.rules():
         assert rule.keyword in rule.pattern.pattern.replace(b"(?:", b"").replace(b"[sc]", b"s"), rule
+
+
+def test_long_and_unspaced_items_are_all_found():
+    draw = random.Random(5)
+    vocab = [f"v{k}" for k in range(2000)]
+    for n in (8, 14, 60, 150, 300, 600, 1000):
+        items = [(k, " ".join(draw.choice(vocab) for _ in range(n))) for k in range(12)]
+        index = decontamination.BenchmarkIndex(items)
+        for k, text in items:
+            words = text.split()
+            for _ in range(decontamination.allowed_edits(n)):
+                at, what = draw.randrange(len(words)), draw.choice("sid")
+                words[at : at + (what != "i")] = [] if what == "d" else [draw.choice(vocab)]
+            host = " ".join(draw.choice(vocab) for _ in range(100)) + " " + " ".join(words) + " " + " ".join(draw.choice(vocab) for _ in range(50))
+            assert k in {i for i, *_ in index.search(host)}, n
+    index = decontamination.BenchmarkIndex([(1, "人工知能は人間の知能を模倣する技術である"), (2, "ภาษาไทยไม่มีช่องว่าง")])
+    assert index.search("昔々、人工知能は人間の知識を模倣する技術であるといわれた。")[0][2] == 1 and index.search("ก่อนภาษาไทยไม่มีช่องว่างหลัง")[0][0] == 1
+
+
+def test_decontamination_equals_brute_force():
+    draw = random.Random(11)
+    vocab = [f"w{k}" for k in range(6)]  # many ties and repeated runs
+    index = decontamination.BenchmarkIndex([(k, " ".join(draw.choice(vocab) for _ in range(4 + k))) for k in range(24)])
+    for size in (0, 3, 9, 40, 70, 90):
+        text = " ".join(draw.choice(vocab) for _ in range(size))
+        words, want = decontamination.symbols(text).tolist(), []
+        for k, item in enumerate(index.items):
+            found = []
+            for start in range(len(words) + 1):
+                row = list(range(len(words) - start + 1))
+                for i, w in enumerate(item.tolist(), 1):
+                    nxt = [i]
+                    for j, v in enumerate(words[start:], 1):
+                        nxt.append(min(row[j - 1] + (v != w), row[j] + 1, nxt[-1] + 1))
+                    row = nxt
+                found.append((min(row), start))
+            if found and min(found)[0] <= index.edits[k]:
+                want.append((k, min(found)[1], min(found)[0]))
+        assert sorted(index.search(text)) == want
