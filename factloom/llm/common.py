@@ -10,15 +10,19 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
-#: Rows of an Arrow batch that carries whole texts.  A batch is the unit of
-#: memory in a Python worker, so it is kept small: 64 texts of 10 MB still fit.
-BATCH_ROWS = 64
+#: Rows and bytes of an Arrow batch that carries whole texts. A batch is the unit
+#: of memory in a Python worker: it ends at whichever bound comes first, so only
+#: a text that is longer by itself makes a larger one.
+BATCH_ROWS, BATCH_BYTES = 64, 16 << 20
+
+#: Keys with more than one in so many of the rows are heavy: no more than so many exist.
+HEAVY_SHARE, HEAVY_ROWS = 16_384, 1_024
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,13 +32,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Keep Arrow batches small for the plans that this session will make.
 
-    Local Python workers also learn where this package lies; on a cluster it
-    is installed or shipped with the job.
+    The settings are the session's: other queries get the same small batches,
+    which cost them a little time and change no result. Local Python workers
+    also learn where this package lies; on a cluster it is installed or shipped
+    with the job.
     """
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -67,12 +74,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def drop_scratch(spark: SparkSession, df_path: str) -> None:
-    """Delete an intermediate table that no later plan reads."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df_path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there.
 
@@ -81,7 +82,57 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def heavy(counts: DataFrame, rows: str, total: int) -> DataFrame:
+    """The rows of ``counts`` that hold more than a share of all ``total`` rows: HEAVY_SHARE at most, so they may be broadcast."""
+    return counts.filter(F.col(rows) > max(HEAVY_ROWS, total // HEAVY_SHARE))
+
+
+def join_split(rows: DataFrame, counts: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """``rows`` joined to ``counts``, one row a key, whose column ``n`` says how many rows have the key.
+
+    Heavy keys are joined by broadcast, wherever their rows lie; the others are few each and shuffle.
+    """
+    hot = materialise(heavy(counts, n, total), "heavy-keys")
+    if hot.isEmpty():
+        return rows.join(counts, keys)
+    light = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(counts.join(F.broadcast(hot.select(*keys)), keys, "left_anti"), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(light)
+
+
+def one_of_each(docs: DataFrame, stay: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of ``docs`` for each key that ``stay`` (keys, n rows of it) has.
+
+    Rows of a key are equal in everything that matters, so any one will do.
+    A key with very many rows is reduced in each map task before it moves.
+    """
+    turn = fresh_name(docs, "turn")
+    total = stay.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = materialise(heavy(stay, "n", total).select(*keys), "repeated-rows")
+    rest, pick = stay.select(*keys), docs
+    many = not hot.isEmpty()
+    if many:
+        pick, rest = docs.join(F.broadcast(hot), keys, "left_anti"), rest.join(F.broadcast(hot), keys, "left_anti")
+    # The window needs the join's own partitioning, so rows move once.
+    one = Window.partitionBy(*keys).orderBy(F.lit(0))
+    out = pick.join(rest, keys, "left_semi").withColumn(turn, F.row_number().over(one)).filter(F.col(turn) == 1).select(*docs.columns)
+    if many:
+        whole = fresh_name(docs, "whole")
+        first = docs.join(F.broadcast(hot), keys, "left_semi").groupBy(*keys).agg(F.first(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias(whole))
+        out = out.unionByName(first.select(f"{whole}.*"))
+    return out
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -93,6 +144,22 @@ def lower_ascii(column):
     return F.translate(column, UPPER, LOWER)
 
 
+def sampled_rows(docs: DataFrame, rows: int, seed: int, *columns: str) -> DataFrame:
+    """``text`` and ``columns`` of at most ``rows`` rows of ``docs``, those with the smallest hash of id and text.
+
+    Rows that repeat id, text and ``columns`` count once, so that the bound is one of rows whatever the ids.
+    """
+    at = F.xxhash64("text")
+    draw = F.xxhash64(F.lit(seed), "doc_id", at)
+    thin = docs.select("doc_id", at.alias("__text"), *columns, draw.alias("__draw")).distinct()
+    picked = thin.orderBy("__draw", "doc_id", "__text", *columns).limit(rows).drop("__draw")
+    keys = ["doc_id", "__text", *columns]
+    found = docs.select("doc_id", at.alias("__text"), "text", *columns).join(F.broadcast(picked), keys, "left_semi")
+    sample = found.groupBy(*keys).agg(F.first("text").alias("text")).drop("__text")
+    # Few rows, but much work for each: they are dealt over all cores.
+    return sample.repartition(shuffle_partitions(docs.sparkSession), "doc_id")
+
+
 def fresh_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have, whatever the letter case."""
     taken = {c.lower() for c in df.columns}

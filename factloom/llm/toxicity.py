@@ -7,7 +7,7 @@ the restored word looked up in the lexicon). Trees score them; an isotonic
 calibration turns margins into frequencies.
 
 Learning. Of the labelled rows that aren't held out, those with the smallest
-hash of the id are taken, ``sample`` at most. One half teaches the lexicon
+hash of id and text are taken, ``sample`` rows at most. One half teaches the lexicon
 (words and word beginnings whose document log-odds stand out), the other half
 the trees and the calibration, so trees see lexicon features as they are on
 unseen texts. Labels, language, source and id are never inputs of a score.
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from . import common
 from .boosting import _sigmoid, fit_calibrated
 
-#: Bound of the training sample in rows, and of the learned lexicon in entries.
-SAMPLE, ENTRIES = 16_000, 600
+#: Bound of the training sample in rows; what is learned from it is bounded with it.
+SAMPLE = 16_000
 #: Word beginnings that are learned beside whole words, by length.
 STEMS = (5, 6, 7)
 
@@ -48,12 +48,19 @@ SECOND_PERSON = frozenset(
 PLAIN = str.maketrans("013457@$!|", "oieastasil", "*_-")
 
 _WORD = re.compile(r"[^\W\d_]+")
-_MASKED = re.compile(r"[A-Za-z]+[0-9@$!|*][A-Za-z0-9@$!|*]*[A-Za-z]")
+# From the first letter of a run on, each run once; signs at its end are cut off behind.
+_MASKED = re.compile(r"(?<![A-Za-z])[A-Za-z]++[0-9@$!|*][A-Za-z0-9@$!|*]*+")
+_SIGNS = "0123456789@$!|*"
 _SHOUT = re.compile(r"\b[A-Z]{3,}\b")
 _REPEAT = re.compile(r"([!?.,])\1+")
 FEATURES = 19
 
 
+def masked_words(text: str) -> list[str]:
+    """Words of ASCII letters with digits or signs between their letters."""
+    return [x for m in _MASKED.findall(text) if not (x := m.rstrip(_SIGNS)).isalpha()]
+
+
 def entries_of(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in STEMS if len(word) > n)]
 
@@ -96,10 +103,10 @@ class Lexicon:
             right = np.searchsorted(persons, hits)
             gap = np.minimum(np.abs(persons[np.minimum(right, len(persons) - 1)] - hits), np.abs(persons[np.maximum(right - 1, 0)] - hits))
             near = int((gap <= 4).sum())
-        masked = _MASKED.findall(text) if len(text) else []
+        masked = masked_words(text)
         unmasked = [x.lower().translate(PLAIN) for x in masked]
         restored = sum(x in INSULTS or self.weight(x) > 0 for x in unmasked)
-        kinds = np.bincount(np.frombuffer(text.encode("latin-1", "replace"), dtype=np.uint8), minlength=256) if text else np.zeros(256)
+        kinds = np.bincount(np.frombuffer(text.encode(), dtype=np.uint8), minlength=256)
         log = np.log1p
         return np.array(
             [
@@ -134,11 +141,13 @@ class ToxicityModel:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """half, text and toxic of the bounded sample."""
+    """half, text, toxic and doc_id of the bounded sample."""
     known = labels.filter(F.col("toxic").isNotNull() & ~common.held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     draw = F.xxhash64(F.lit(23), "doc_id")
-    picked = known.orderBy(draw, "doc_id").limit(sample).select("doc_id", "toxic", F.pmod(F.shiftright(draw, 7), F.lit(2)).cast("int").alias("half"))
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("half", F.coalesce("text", F.lit("")).alias("text"), "toxic", "doc_id")
+    picked = known.orderBy(draw, "doc_id").limit(sample)
+    labelled = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    half = F.pmod(F.shiftright(draw, 7), F.lit(2)).cast("int").alias("half")
+    return common.sampled_rows(labelled, sample, 23, "toxic").select(half, F.coalesce("text", F.lit("")).alias("text"), "toxic", "doc_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
@@ -161,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityMod
     odds = F.expr(f"ln((toxic + 0.5) / ({totals[0]} - toxic + 0.5)) - ln((clean + 0.5) / ({totals[1]} - clean + 0.5))")
     spread = F.expr("sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))")
     best = counted.filter("entry <> ''").select("entry", odds.alias("odds"), (odds / spread).alias("z")).filter("z >= 3.5 and odds >= 1.5")
-    weights = {r["entry"]: float(r["odds"]) for r in best.orderBy(F.desc("z"), "entry").limit(ENTRIES).collect()}
+    weights = {r["entry"]: float(r["odds"]) for r in best.collect()}
 
     def measure(batches):
         lexicon = Lexicon(weights)
