@@ -6,9 +6,9 @@ by its character n-grams of the longest length (5 down to 1) of which the
 model knows any, each with its own per-language log-probability.
 
 The model is fitted on a bounded sample of labelled rows: of the rows that
-have a language and aren't held out, the ``sample`` with the smallest hash of
-the id. Only the ``words`` and ``grams`` most frequent entries are kept, so
-the model has a fixed size; it goes to the executors with the function.
+have a text and a language and aren't held out, the ``sample`` with the
+smallest hash of id and text. Every word and n-gram of the sample is learned;
+the model goes to the executors with the function.
 
 Scores: the mean log-probability of the document's letters' words under the
 best language, as a softmax over languages of the per-word evidence; 1 means
@@ -25,19 +25,30 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Bound of the training sample, in rows, and of the model, in entries.
-SAMPLE, WORDS, GRAMS = 6_000, 40_000, 40_000
+#: Bound of the training sample in rows.
+SAMPLE = 6_000
 LONGEST = 5
 #: Words that a worker remembers, besides those of the text at hand.
 REMEMBERED = 200_000
-_WORD = re.compile(r"[^\W\d_]+")
+_RUN = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
+#: A language that explains a text no better than this share isn't told.
+LEAST = 0.5
+
+
+def letter_words(text: str) -> list[str]:
+    """Runs of letters, lower-cased. Numerals that aren't digits, as in "½" or "Ⅷ", are no letters."""
+    words = _RUN.findall(text.lower())
+    if words and not "".join(words).isalpha():
+        words = [x for w in words for x in ((w,) if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
+    return words
 
 
 def word_grams(word: str, n: int) -> list[str]:
@@ -46,56 +57,57 @@ def word_grams(word: str, n: int) -> list[str]:
 
 
 class LanguageModel:
-    """counts: of (kind, entry, language), kind 0 for words and n for n-grams."""
+    """counts: columns kind, entry, language and n; kind 0 is words, n n-grams."""
 
-    def __init__(self, counts: list[tuple[int, str, str, int]]):
-        self.languages = sorted({x[2] for x in counts})
+    def __init__(self, kinds: np.ndarray, entries: list[str], languages: list[str], n: np.ndarray):
+        self.languages = sorted(set(languages))
         at = {x: i for i, x in enumerate(self.languages)}
-        width = len(self.languages)
-        raw: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-        for kind, entry, language, n in counts:
-            raw[kind].setdefault(entry, np.zeros(width))[at[language]] += n
-        self.tables = [self._logs(table, width) for table in raw]
+        column = np.fromiter((at[x] for x in languages), np.int64, len(languages))
+        self.index: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        self.logs: list[np.ndarray] = []
+        for kind, index in enumerate(self.index):
+            own = np.flatnonzero(kinds == kind)
+            row = np.fromiter((index.setdefault(entries[k], len(index)) for k in own.tolist()), np.int64, len(own))
+            counts = np.zeros((len(index), len(self.languages)))
+            np.add.at(counts, (row, column[own]), n[own])
+            total = counts.sum(axis=0) + 0.5 * (len(index) + 1)
+            self.logs.append(np.log((counts + 0.5) / total).astype(np.float32))
         self.forget()
 
     def forget(self) -> None:
         """Let go of the words remembered."""
         self.rows = np.zeros((1024, len(self.languages)))
-        self.index: dict[str, int] = {}
-
-    @staticmethod
-    def _logs(table: dict[str, np.ndarray], width: int) -> dict[str, np.ndarray]:
-        total = sum(table.values(), np.zeros(width)) + 0.5 * (len(table) + 1)
-        return {entry: np.log((n + 0.5) / total) for entry, n in table.items()}
+        self.known: dict[str, int] = {}
 
     def word(self, word: str) -> np.ndarray:
         """Log-probability of one word under each language, less that of the best."""
-        found = self.tables[0].get(word)
-        if found is None:
-            for n in range(LONGEST, 0, -1):
-                known = [x for g in word_grams(word, n) if (x := self.tables[n].get(g)) is not None]
-                if known:
-                    found = np.mean(known, axis=0)
-                    break
-            else:
-                return np.zeros(len(self.languages))
-        return found - found.max()
+        at = self.index[0].get(word)
+        if at is not None:
+            found = self.logs[0][at]
+            return found - found.max()
+        for n in range(LONGEST, 0, -1):
+            index = self.index[n]
+            known = [x for g in word_grams(word, n) if (x := index.get(g)) is not None]
+            if known:
+                found = self.logs[n][known].mean(axis=0)
+                return found - found.max()
+        return np.zeros(len(self.languages))
 
     def _row(self, word: str) -> int:
-        at = len(self.index)
+        at = len(self.known)
         if at >= len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
         self.rows[at] = self.word(word)
-        self.index[word] = at
+        self.known[word] = at
         return at
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = _WORD.findall(text.lower()) if text else []
+        words = letter_words(text) if text else []
         if not words or not self.languages:
             return UNKNOWN, 0.0
-        if len(self.index) >= REMEMBERED:
+        if len(self.known) >= REMEMBERED:
             self.forget()
-        get, row = self.index.get, self._row
+        get, row = self.known.get, self._row
         at = [row(w) if (i := get(w)) is None else i for w in words]
         evidence = self.rows[at].sum(axis=0)
         # Words of a text aren't independent; the evidence counts by its square root.
@@ -107,18 +119,17 @@ class LanguageModel:
 def training_sample(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """text and lang of the bounded sample; everything else is held out or left."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~common.held_out(F.col("doc_id")))
-    picked = docs.filter(F.col("lang").isNotNull() & ~common.held_out(F.col("doc_id"))).select("doc_id").distinct().orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id").limit(sample)
-    return labelled.join(F.broadcast(picked), "doc_id", "left_semi").select("text", "lang")
+    return common.sampled_rows(labelled, sample, 17, "lang").select("text", "lang")
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, words: int = WORDS, grams: int = GRAMS) -> LanguageModel:
+def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     common.bound_batches(docs.sparkSession)
 
     def count(batches):
         for batch in batches:
             n: Counter = Counter()
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for word, k in Counter(_WORD.findall(text.lower())).items():
+                for word, k in Counter(letter_words(text)).items():
                     n[0, word, lang] += k
                     for length in range(1, LONGEST + 1):
                         for gram in word_grams(word, length):
@@ -129,12 +140,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE, words: int = WORDS, grams: int =
                 ["kind", "entry", "lang", "n"],
             )
 
-    counted = training_sample(docs, sample).mapInArrow(count, "kind int, entry string, lang string, n long")
-    summed = counted.groupBy("kind", "entry", "lang").agg(F.sum("n").alias("n")).filter("n >= 2")
-    summed = common.materialise(summed, "language-counts")
-    top = lambda df, k: df.orderBy(F.desc("n"), "kind", "entry", "lang").limit(k)
-    rows = top(summed.filter("kind = 0"), words).unionByName(top(summed.filter("kind > 0"), grams)).collect()
-    return LanguageModel([tuple(x) for x in rows])
+    rows = common.materialise(training_sample(docs, sample), "language-sample")
+    counted = rows.mapInArrow(count, "kind int, entry string, lang string, n long")
+    # What the bounded sample holds comes to the driver, as Arrow columns.
+    summed = counted.groupBy("kind", "entry", "lang").agg(F.sum("n").alias("n")).toArrow()
+    common.free(rows)
+    return LanguageModel(summed["kind"].to_numpy(), summed["entry"].to_pylist(), summed["lang"].to_pylist(), summed["n"].to_numpy())
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -152,15 +163,16 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The rows of ``docs`` whose language can be told; ``und`` goes."""
+def keep_identified(docs: DataFrame, model: LanguageModel, least: float = LEAST) -> DataFrame:
+    """The rows of ``docs`` whose language is told with a score of ``least`` or more; ``und`` goes."""
     common.bound_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def told(texts):
         own = common.held_alone(("language", shipped.value), lambda: shipped.value)
-        return texts.map(lambda text: own.predict(text)[0] != UNKNOWN).astype(bool)
+        found = (own.predict(text) for text in texts)
+        return pd.Series([lang != UNKNOWN and score >= least for lang, score in found], dtype=bool)
 
     return docs.filter(told("text"))
 

@@ -288,7 +288,8 @@ def test_language_id_on_held_out_texts(spark, none):
 
 def test_language_model_backs_off_to_shorter_grams():
     counts = [(0, "karo", "xx", 9), (0, "berung", "yy", 9), (3, "aro", "xx", 5), (3, "ung", "yy", 5), (1, "q", "yy", 3)]
-    model = language_id.LanguageModel(counts)
+    kinds, entries, languages, n = (list(x) for x in zip(*counts))
+    model = language_id.LanguageModel(np.array(kinds), entries, languages, np.array(n))
     assert model.predict("baro")[0] == "xx" and model.predict("zung")[0] == "yy" and model.predict("q")[0] == "yy"
 
 
