@@ -26,10 +26,11 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
-import html
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from html.entities import html5
 from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
@@ -39,17 +40,22 @@ from . import common
 
 KINDS = ("assign", "access", "hex")
 CHUNK = 1 << 20
+#: Characters of base64 that are decoded at once where the end isn't known; a multiple of 4.
+_PART = 1 << 12
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 # A run of 24 or more is a match of [0-9a-f]+ that isn't dropped, and the reverse.
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
-_PERCENT = re.compile(r"[^\s\"'<>]*%[0-9A-Fa-f]{2}[^\s\"'<>]*")
-_ESCAPED = re.compile(r"[^\s\"'<>]*(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#x?[0-9A-Fa-f]+;)[^\s\"'<>]*")
-_UNIT = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
+# Encoded tokens are looked for token by token, so that a text is read once however long its tokens are.
+_TOKEN = re.compile(r"[^\s\"'<>]+")
+_PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
+_UNIT = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#[xX]0*([0-9A-Fa-f]{1,6});|&#0*([0-9]{1,7});")
+_NAMED = re.compile(r"&([A-Za-z][A-Za-z0-9]{1,30});")
 # 12 bytes, the shortest secret, are 16 characters.
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_SIGN = re.compile(r"[/_+-]")
 _RUN, _BREAK = "[A-Za-z0-9+/_-]", r"(?:\r\n?|\n|\\r\\n|\\n)[\x20\t]*"
 # Runs over line breaks: the first and the last line may be short. No backtracking into a run.
 _WRAPPED = re.compile(rf"(?<!{_RUN})(?:{_RUN}++(?:{_BREAK}{_RUN}{{16,}}+)++(?:{_BREAK}{_RUN}++)?|{_RUN}{{16,}}+{_BREAK}{_RUN}++)={{0,2}}")
@@ -137,37 +143,53 @@ def _inflate(raw: bytes) -> Iterator[bytes]:
         yield raw
 
 
+def _unit(m: re.Match) -> str:
+    code = int(m.group(4)) if m.group(4) else int(m.group(1) or m.group(2) or m.group(3), 16)
+    return chr(code) if code < 0x110000 else m.group()
+
+
 def _unescape(piece: str) -> str:
-    plain = _UNIT.sub(lambda m: chr(int(m.group(1) or m.group(2), 16)), piece)
-    plain = html.unescape(plain) if "&#" in plain else plain
+    plain = _UNIT.sub(_unit, piece)
+    if "&#" in piece:
+        plain = _NAMED.sub(lambda m: html5.get(f"{m.group(1)};", m.group()), plain)
     # Escaped surrogate pairs become their character; lone ones stay harmless.
     return plain.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
 def unwrap(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, decoded text) of every encoded piece of ``text``."""
-    if "%" in text:
-        for m in _PERCENT.finditer(text):
-            for plain in _texts([unquote_to_bytes(m.group())]):
-                if plain != m.group():
-                    yield m.start(), m.end(), plain
-    if "\\u" in text or "\\x" in text or "&#" in text:
-        for m in _ESCAPED.finditer(text):
-            if (plain := _unescape(m.group())) != m.group():
+    percent, escaped = "%" in text, "\\u" in text or "\\x" in text or "&#" in text
+    if percent or escaped:
+        for m in _TOKEN.finditer(text):
+            token = m.group()
+            if percent and "%" in token and _PERCENT.search(token):
+                for plain in _texts([unquote_to_bytes(token)]):
+                    if plain != token:
+                        yield m.start(), m.end(), plain
+            if escaped and ("\\" in token or "&#" in token) and _UNIT.search(token) and (plain := _unescape(token)) != token:
                 yield m.start(), m.end(), plain
     for m in _BASE64.finditer(text):
-        for plain in _texts(_inflate(_unbase64(m.group()))):
-            yield m.start(), m.end(), plain
+        for at in _alignments(m.group()):
+            for plain in _texts(_inflate(_unbase64(m.group()[at:]))):
+                yield m.start(), m.end(), plain
     if "\n" in text or "\r" in text or "\\n" in text:
         for m in _WRAPPED.finditer(text):
             yield from _unwrap_lines(m)
 
 
+def _alignments(run: str) -> list[int]:
+    """Where the groups of four of a run may start: at its start, and behind signs that may be a path's or a name's."""
+    out = {0: 0}
+    for m in _SIGN.finditer(run):
+        if len(run) - m.end() >= 16:
+            out.setdefault(m.end() % 4, m.end())
+        if len(out) == 4:
+            break
+    return list(out.values())
+
+
 def _unbase64(piece: str) -> bytes:
     piece = piece.rstrip("=")
-    # Prose has no capitals, digits or signs inside its long words; base64 has them nearly always.
-    if piece.islower() and piece.isalpha():
-        return b""
     piece = piece[: len(piece) - (len(piece) % 4 == 1)]
     return base64.b64decode(piece.replace("-", "+").replace("_", "/") + "=" * (-len(piece) % 4))
 
@@ -185,13 +207,31 @@ def _unwrap_lines(m: re.Match) -> Iterator[tuple[int, int, str]]:
         at = m.start() + brk.end() if brk else at
     joined, offset, tried = "".join(lines), 0, set()
     for start, line in zip(starts, lines):
-        if offset % 4 not in tried or _opens(line):
+        if offset % 4 not in tried:
             tried.add(offset % 4)
             for plain in _texts(_inflate(_unbase64(joined[offset:]))):
                 yield start, m.end(), plain
+        elif _opens(line):
+            # Only to the end of what opens here: a run of many such lines is read once.
+            for plain in _texts(_one_member(joined, offset)):
+                yield start, m.end(), plain
         offset += len(line)
 
 
+def _one_member(joined: str, offset: int) -> Iterator[bytes]:
+    stream = zlib.decompressobj(47)
+    for at in range(offset, len(joined), _PART):
+        left = _unbase64(joined[at : at + _PART])
+        try:
+            while (piece := stream.decompress(left, CHUNK)) or stream.unconsumed_tail:
+                yield piece
+                left = stream.unconsumed_tail
+        except zlib.error:
+            return
+        if stream.eof:
+            return
+
+
 def _opens(line: str) -> bool:
     head = _unbase64(line[:64])
     try:
@@ -200,19 +240,46 @@ def _opens(line: str) -> bool:
         return False
 
 
+class _Places:
+    """Spans by kind and value: whether one lies within a span, without reading all of them."""
+
+    def __init__(self):
+        self.spans: dict[tuple[int, str], list[tuple[int, int]]] = {}
+
+    def add(self, kind: int, value: str, span: tuple[int, int]) -> None:
+        spans = self.spans.setdefault((kind, value), [])
+        if not spans or spans[-1] < span:
+            spans.append(span)
+        elif (at := bisect_left(spans, span)) == len(spans) or spans[at] != span:
+            spans.insert(at, span)
+
+    def within(self, kind: int, value: str, span: tuple[int, int]) -> bool:
+        """Whether a span other than ``span`` itself lies in it."""
+        spans = self.spans.get((kind, value), ())
+        at = bisect_left(spans, (span[0], span[0]))
+        while at < len(spans) and spans[at][0] < span[1]:
+            if spans[at][1] <= span[1] and spans[at] != span:
+                return True
+            at += 1
+        return False
+
+
 def find_secrets(text: str | None) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, int, int, str]]]:
     """Secrets of the text itself, and those of its layers at the spans of the outermost pieces."""
     text = text or ""
     base = scan(text)
     known = {x[:3] for x in base}
+    standing = _Places()
+    for start, kind, end, value in base:
+        standing.add(kind, value, (start, end))
     added: dict[tuple[int, int, int], str] = {}
     # Layers come up one at a time: of a long layer only a part is held.
     work = [unwrap(text)]
-    seen: set[tuple[int, bytes]] = set()
+    seen: set[tuple[int, int, bytes]] = set()
     outer: tuple[int, int] = (0, 0)
     # Secrets of the lines of wrapped runs: the whole run, which comes later, doesn't repeat them.
     wrapped = bool(_WRAPPED.search(text))
-    single: dict[tuple[int, str], list[tuple[int, int]]] = {}
+    single = _Places()
     while work:
         if (piece := next(work[-1], None)) is None:
             work.pop()
@@ -221,19 +288,17 @@ def find_secrets(text: str | None) -> tuple[list[tuple[int, int, int, str]], lis
             outer = piece[:2]
         start, end = outer
         layer = piece[2]
-        mark = (start, hashlib.blake2b(layer.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+        mark = (start, end, hashlib.blake2b(layer.encode("utf-8", "surrogatepass"), digest_size=16).digest())
         if mark in seen:
             continue
         seen.add(mark)
         for _, kind, _, value in scan(layer):
             span = (start, kind, end)
             # What stands in the text unchanged has been reported where it stands.
-            if span not in known and not any(k == kind and start <= s and e <= end and v == value for s, k, e, v in base):
-                if any(start <= s and e <= end and (s, e) != outer for s, e in single.get((kind, value), ())):
-                    continue
+            if span not in known and not standing.within(kind, value, outer) and not single.within(kind, value, outer):
                 added.setdefault(span, value)
                 if wrapped:
-                    single.setdefault((kind, value), []).append(outer)
+                    single.add(kind, value, outer)
         work.append(unwrap(layer))
     return base, [(*span, value) for span, value in sorted(added.items())]
 
