@@ -24,6 +24,7 @@ import re
 from functools import lru_cache
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -209,34 +210,55 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_SPLIT).split()
 
 
-def base_places(joined: bytes) -> list[tuple[int, str]]:
+def word_starts(joined: bytes) -> np.ndarray:
+    """Offsets of the spaces of ``joined``; word k starts behind the k-th."""
+    return np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+
+
+def base_places(joined: bytes, starts: np.ndarray) -> list[tuple[int, str]]:
     """(start in words, label) of every place of a base phrase; ``joined`` has a space at either end."""
     out = []
     for phrase, label in BASE:
-        at = joined.find(b" " + phrase + b" ")
+        found, at = [], joined.find(b" " + phrase + b" ")
         while at >= 0:
-            out.append((joined.count(b" ", 0, at), label))
+            found.append(at)
             at = joined.find(b" " + phrase + b" ", at + 1)
+        out += [(k, label) for k in np.searchsorted(starts, found).tolist()]
     return out
 
 
-def detect(joined: bytes) -> list[Detection]:
-    """Detections of the rules that survive suppression, by place."""
+def detect(joined: bytes, starts: np.ndarray) -> list[Detection]:
+    """Detections of the rules that survive suppression, by place.
+
+    Rules come by falling priority, so any accepted detection may suppress a
+    later one: the farthest end of all that start no later decides.
+    """
     words, hinted = set(joined.split()), any(hint in joined for hint in HINTS)
-    kept: list[tuple[int, int, Rule]] = []
+    begin, reach = np.empty(0, np.int64), np.empty(0, np.int64)
+    kept: list[tuple[np.ndarray, np.ndarray, Rule]] = []
     for first, rule in _by_first_word():
         if first in words and (hinted or not rule.hinted) and rule.keyword in joined:
-            for m in rule.pattern.finditer(joined):
-                start, end = m.span()
-                if not any(s <= start and end <= e and r.priority >= rule.priority for s, e, r in kept):
-                    kept.append((start, end, rule))
-    return sorted(Detection(joined.count(b" ", 0, s) - 1, joined.count(b" ", 0, e) - 1, r.label, r.priority) for s, e, r in kept)
+            spans = np.array([m.span() for m in rule.pattern.finditer(joined)], dtype=np.int64).reshape(-1, 2)
+            if len(begin) and len(spans):
+                at = np.searchsorted(begin, spans[:, 0], "right") - 1
+                spans = spans[(at < 0) | (reach[at] < spans[:, 1])]
+            if len(spans):
+                kept.append((spans[:, 0], spans[:, 1], rule))
+                begin, reach = np.concatenate([begin, spans[:, 0]]), np.concatenate([reach, spans[:, 1]])
+                order = np.argsort(begin, kind="stable")
+                begin, reach = begin[order], np.maximum.accumulate(reach[order])
+    return sorted(
+        Detection(s, e, rule.label, rule.priority)
+        for a, b, rule in kept
+        for s, e in zip((np.searchsorted(starts, a) - 1).tolist(), (np.searchsorted(starts, b) - 1).tolist())
+    )
 
 
 def scan_text(text: str | None) -> tuple[int, list[tuple[int, str]], list[Detection]]:
     words = words_of(text)
     joined = b" " + b" ".join(words) + b" "
-    return len(words), base_places(joined), detect(joined)
+    starts = word_starts(joined)
+    return len(words), base_places(joined, starts), detect(joined, starts)
 
 
 def confidence(places: list[tuple[int, str]], found: list[Detection]) -> float:
