@@ -1,28 +1,37 @@
-"""Benchmark decontamination by counted word runs and exact edit distance.
+"""Benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit distance.
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, after
 lower-casing A-Z; scripts without spaces between words are cut into characters.
-An item of n >= 8 words is contained in a document if some place there is
-within e = floor(0.15 n) word edits of it; items of 4 to 7 words must stand
-there exactly, shorter ones are too short to tell and match nothing.
-
-1. Count filter, lossless: an edit breaks at most 4 of the item's n - 3 runs of
-   4 words, so n - 3 - 4 e of them stand unchanged at a place within e edits,
-   each shifted by at most e words. Only regions where so many runs of an item
-   are met are looked at; the number is at least 1 for every length.
-2. The exact word edit distance to the best place in a region, all starts at
-   once: costs and starts are kept in one number, so the least cost comes with
-   its first start.
-
-Nothing is found by chance: every contained item is reported, however long.
+An item of n words is contained in a document if some place there is within
+floor(EDIT_RATE n) word edits of it, for items under 7 words an exact place.
+
+1. Windows. An item is cut into windows of 8 to 15 words (a shorter item is one
+   window). Some window of m has no more than edits / m of the item's edits, so
+   it is enough to find windows with 2 edits at most, however long the item.
+   Such a window holds a run of its words unchanged, of 4 words if it has 8 or
+   more; only starts that such a run of a document allows, give or take the
+   window's edits, are looked at. This loses nothing.
+2. Each such place is embedded by the CGK random walk: at step j the current
+   word is written out and the pointer advances if the j-th random function of
+   that word says so. Edit distance becomes Hamming distance: after an edit, two
+   walks meet again within a few steps.
+3. Bit-sampling LSH: ``WALKS`` walks, each sampled in ``TABLES`` sets of
+   ``SAMPLED`` steps; a place that equals a window in one set is a candidate.
+   The numbers give a recall over 0.9999 for a window at its largest number of
+   edits; tests measure it. A long item has several such windows.
+4. Round a candidate the whole item is compared by exact word edit distance, all
+   starts at once: costs and starts are kept in one number, so the least cost
+   comes with its first start. Only this decides.
 
 The benchmark is a stated query set. It is read in blocks of bounded size, and
-each block is searched against all documents, whole texts.
+each block is searched against all documents, whole texts. A block's index has
+about 45 bytes for a word of an item, whatever the items' lengths.
 
 Defined results: null or wordless texts hold no item; a null item id is
-reported as null; repeated documents and items are reported each; an item that
-occurs several times in a document is one row, with its best place; an empty
-table or benchmark gives no rows.
+reported as null; items that repeat id and text are one item, repeated
+documents are reported each; items shorter than ``shortest`` words match
+nothing; an item that occurs several times in a document is one row, with its
+best place; an empty table or benchmark gives no rows.
 """
 
 from __future__ import annotations
@@ -34,12 +43,21 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
 
-GRAM, SHORTEST, EXACT_BELOW, EDIT_RATE = 4, 4, 8, 0.15
+#: Share of an item's words that may be edited, and the words of a window at least.
+EDIT_RATE, WINDOW = 0.15, 8
+WALKS, TABLES, SAMPLED = 8, 8, 3
+#: Longest runs that the first filter reads.
+RUN = 4
+#: Items of fewer words are too short to tell a passage by: a parameter of the searches.
+SHORTEST = 4
 #: Bytes of item text in a block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: Places that are embedded at once.
+_PLACES = 4096
 
 # Thai to Burmese, Khmer, ideographs with their radicals and marks, kana, bopomofo.
 _UNSPACED = re.compile("([\u0e00-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u3007\u3021-\u3029\u3040-\u312f\u31a0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])")
@@ -61,62 +79,118 @@ def symbols(text: str | None) -> np.ndarray:
 
 
 def allowed_edits(n: int) -> int:
-    return int(EDIT_RATE * n) if n >= EXACT_BELOW else 0
+    return int(EDIT_RATE * n)
+
 
+def windows_of(n: int) -> list[tuple[int, int, int, int]]:
+    """(first word, words, edits, run) of the windows of an item of n words; some window's ``run`` words stand unchanged."""
+    m = max(1, n // WINDOW)
+    edits = allowed_edits(n) // m
+    bounds = [k * n // m for k in range(m + 1)]
+    return [(a, b - a, edits, min(RUN, -(-(b - a - edits) // (edits + 1)))) for a, b in zip(bounds, bounds[1:])]
 
-def _grams(s: np.ndarray) -> np.ndarray:
-    if len(s) < GRAM:
+
+def _runs(s: np.ndarray, size: int) -> np.ndarray:
+    if len(s) < size:
         return np.empty(0, dtype=np.uint64)
-    h = np.zeros(len(s) - GRAM + 1, dtype=np.uint64)
-    for k in range(GRAM):
-        h = (h ^ s[k : len(s) - GRAM + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+    h = np.full(len(s) - size + 1, size, dtype=np.uint64)
+    for k in range(size):
+        h = (h ^ s[k : len(s) - size + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
     return h
 
 
 class BenchmarkIndex:
-    """A block of items and their runs of words."""
+    """A block of items: their windows, the windows' runs of words and sampled embeddings."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]]):
-        kept = [(i, s) for i, s in ((i, symbols(text)) for i, text in items) if len(s) >= SHORTEST]
+    def __init__(self, items: list[tuple[int | None, str | None]], shortest: int = SHORTEST, seed: int = 404):
+        kept = [(i, s) for i, s in ((i, symbols(text)) for i, text in items) if len(s) >= max(1, shortest)]
         self.ids = [i for i, _ in kept]
         self.items = [s for _, s in kept]
         self.n = np.array([len(s) for s in self.items], dtype=np.int64)
-        self.edits = np.array([allowed_edits(n) for n in self.n], dtype=np.int64)
-        self.least = self.n - GRAM + 1 - GRAM * self.edits
-        runs = [(g, k, q) for k, s in enumerate(self.items) for q, g in enumerate(_grams(s).tolist())]
-        runs.sort()
-        self.gram = np.array([r[0] for r in runs], dtype=np.uint64)
-        self.item_of = np.array([r[1] for r in runs], dtype=np.int64)
-        self.offset = np.array([r[2] for r in runs], dtype=np.int64)
-        self.sieve = np.zeros(1 << 20, dtype=bool)
-        self.sieve[(self.gram & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        self.edits = np.array([allowed_edits(n) for n in self.n.tolist()], dtype=np.int64)
+        cut = [(k, *w) for k, s in enumerate(self.items) for w in windows_of(len(s))]
+        self.item_of, self.first, self.words, self.slack, runs = (np.array(c, dtype=np.int64) for c in zip(*cut)) if cut else [np.empty(0, np.int64)] * 5
+        draw = np.random.default_rng(seed)
+        self.walk = draw.integers(0, 1 << 63, (WALKS, 4 * WINDOW), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        # Steps as shares of a window's 2n; a later one is rarer, as it needs a longer walk.
+        self.share = np.sort(draw.random((WALKS, TABLES, SAMPLED)), axis=2)
+        self.code = self._codes(np.concatenate(self.items), np.concatenate([[0], np.cumsum(self.n)[:-1]])[self.item_of] + self.first, self.words) if cut else None
+        # For each size of runs: sorted hashes, and the window and offset of each.
+        self.runs = {}
+        for size in np.unique(runs).tolist():
+            found = [(h, w, at) for w in np.flatnonzero(runs == size).tolist() for at, h in enumerate(_runs(self._words(w), size).tolist())]
+            found.sort()
+            h = np.array([x[0] for x in found], dtype=np.uint64)
+            sieve = np.zeros(1 << 20, dtype=bool)
+            sieve[(h & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+            self.runs[size] = h, np.array([x[1] for x in found], np.int32), np.array([x[2] for x in found], np.int16), sieve
+
+    def _words(self, w: int) -> np.ndarray:
+        return self.items[self.item_of[w]][self.first[w] : self.first[w] + self.words[w]]
+
+    def _codes(self, flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """16 bits of every table's sampled steps, of the CGK walks over flat[start : start + length]."""
+        out = np.zeros((len(start), WALKS * TABLES), dtype=np.uint16)
+        flat = np.concatenate([flat, np.zeros(1, np.uint64)])
+        for w in range(WALKS):
+            # Windows are embedded step by step; 0 stands behind a window's or the text's end.
+            steps = np.zeros((int(2 * length.max()) if len(length) else 0, len(start)), dtype=np.uint64)
+            at = np.zeros(len(start), dtype=np.int64)
+            for j in range(len(steps)):
+                steps[j] = np.where(at < length, flat[np.minimum(start + at, len(flat) - 1)], np.uint64(0))
+                at += ((steps[j] * self.walk[w, j]) >> np.uint64(63)).astype(np.int64)
+            every = np.arange(len(start))
+            for t in range(TABLES):
+                h = np.full(len(start), t + 1, dtype=np.uint64)
+                for share in self.share[w, t]:
+                    h = (h ^ steps[(share * 2 * length).astype(np.int64), every]) * np.uint64(0xD6E8FEB86659FD93)
+                    h ^= h >> np.uint64(31)
+                out[:, w * TABLES + t] = (h >> np.uint64(40)).astype(np.uint16)
+        return out
+
+    def _places(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, start) of every place that an unchanged run allows, each once."""
+        codes = [np.empty(0, np.int64)]
+        wide = len(s) + 2 * WINDOW
+        for size, (hashes, window_of, offset_of, sieve) in self.runs.items():
+            h = _runs(s, size)
+            hit = np.flatnonzero(sieve[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
+            if not len(hit):
+                continue
+            low, high = np.searchsorted(hashes, h[hit], "left"), np.searchsorted(hashes, h[hit], "right")
+            many = high - low
+            if not many.any():
+                continue
+            run = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            window, start = window_of[run].astype(np.int64), np.repeat(hit, many) - offset_of[run]
+            for shift in range(-int(self.slack[window].max()), int(self.slack[window].max()) + 1):
+                fits = np.flatnonzero((np.abs(shift) <= self.slack[window]) & (start + shift >= 0) & (start + shift < len(s)))
+                codes.append(window[fits] * wide + start[fits] + shift)
+        code = np.unique(np.concatenate(codes))
+        return code // wide, code % wide
 
     def _regions(self, s: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, first word, end) of every part of a text that the count filter lets through."""
-        h = _grams(s)
-        hit = np.flatnonzero(self.sieve[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        if not len(hit):
-            return []
-        low, high = np.searchsorted(self.gram, h[hit], "left"), np.searchsorted(self.gram, h[hit], "right")
-        many = high - low
-        if not many.any():
-            return []
-        run = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        item, shift = self.item_of[run], np.repeat(hit, many) - self.offset[run]
-        order = np.lexsort((shift, item))
-        item, shift = item[order], shift[order]
-        # So many runs from one on, if they belong to the item and lie within twice the edits.
-        last = np.arange(len(item)) + self.least[item] - 1
-        near = np.flatnonzero(last < len(item))
-        near = near[(item[last[near]] == item[near]) & (shift[last[near]] - shift[near] <= 2 * self.edits[item[near]])]
-        if not len(near):
+        """(item, first word, end) of every part of a text round a candidate of the item."""
+        window, start = self._places(s)
+        good = [np.empty(0, np.int64)]
+        for part in range(0, len(window), _PLACES):
+            w = window[part : part + _PLACES]
+            same = self._codes(s, start[part : part + _PLACES], np.minimum(self.words[w], len(s) - start[part : part + _PLACES])) == self.code[w]
+            good.append(part + np.flatnonzero(same.any(axis=1)))
+        good = np.concatenate(good)
+        if not len(good):
             return []
-        k = item[near]
-        first = np.maximum(shift[last[near]] - self.edits[k], 0)
-        end = np.minimum(shift[near] + self.n[k] + 2 * self.edits[k], len(s))
-        fresh = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (first[1:] > end[:-1])]))
-        return list(zip(k[fresh].tolist(), first[fresh].tolist(), end[np.append(fresh[1:], len(k)) - 1].tolist()))
+        w = window[good]
+        k, begin = self.item_of[w], start[good] - self.first[w]
+        first = np.maximum(begin - self.edits[k], 0)
+        end = np.minimum(begin + self.n[k] + self.edits[k], len(s))
+        order = np.lexsort((first, k))
+        k, first, end = k[order], first[order], end[order]
+        # Overlapping parts of an item are one; a new one starts behind all ends before it.
+        far = np.maximum.accumulate(end + k * (len(s) + 1)) - k * (len(s) + 1)
+        fresh = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (first[1:] > far[:-1])]))
+        return list(zip(k[fresh].tolist(), first[fresh].tolist(), far[np.append(fresh[1:], len(k)) - 1].tolist()))
 
     def _best(self, s: np.ndarray, k: int) -> tuple[int, int]:
         """Least word edits of item k over every place in s, and its first start there."""
@@ -142,21 +216,23 @@ class BenchmarkIndex:
         return [(k, start, edits) for k, (edits, start) in best.items()]
 
 
-def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
-    """The benchmark's items as indexes, a block of bounded size at a time."""
-    size = benchmark.agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))), F.count(F.lit(1))).first()
+def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, shortest: int = SHORTEST):
+    """The benchmark's items as indexes, a block of bounded size at a time; repeated items are one."""
+    items = benchmark.select("item_id", "text").distinct()
+    size = items.agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))), F.count(F.lit(1))).first()
     n = max(1, -(-int(size[0] or 0) // block_bytes), -(-size[1] // 100_000))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
     for k in range(n):
-        yield BenchmarkIndex([tuple(r) for r in benchmark.select("item_id", "text").filter(part == k).collect()])
+        yield BenchmarkIndex([tuple(r) for r in items.filter(part == k).collect()], shortest)
 
 
-def contained_items(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contained_items(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, shortest: int = SHORTEST) -> DataFrame:
     """doc_id, item_id, start_word, item_words and edits of every item that a document contains."""
     spark = docs.sparkSession
     common.bound_batches(spark)
     kind, item_kind = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
     names = ["doc_id", "item_id", "start_word", "item_words", "edits"]
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
 
     def search_in(shipped):
         def run(batches):
@@ -173,9 +249,8 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BL
 
         return run
 
-    item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_kind]
     out = None
-    for index in blocks(benchmark, block_bytes):
+    for index in blocks(benchmark, block_bytes, shortest):
         found = docs.select("doc_id", "text").mapInArrow(
             search_in(spark.sparkContext.broadcast(index)), f"doc_id {kind}, item_id {item_kind}, start_word long, item_words long, edits long"
         )
@@ -183,7 +258,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BL
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, shortest: int = SHORTEST) -> DataFrame:
     """The rows of ``docs`` that contain no item, with their columns."""
     common.bound_batches(docs.sparkSession)
 
@@ -195,7 +270,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int =
 
         return clean
 
-    for index in blocks(benchmark, block_bytes):
+    for index in blocks(benchmark, block_bytes, shortest):
         docs = docs.filter(filter_by(docs.sparkSession.sparkContext.broadcast(index))("text"))
     return docs
 
