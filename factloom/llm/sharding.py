@@ -6,8 +6,11 @@ through the corpus at the same pace, so any contiguous cut has the corpus'
 mixture. Cuts at k * rows / shards give shards whose row counts differ by one
 at most (law ``rows``).
 
-No source and no shard is ever gathered in one task: both rankings are made
-in hash or rank cells of bounded size, and only cell counts are summed up.
+No source and no shard is ever gathered in one task: both orders are total
+sorts over ranges of rows, where a row's own number comes last in the sort key,
+so that neither a source, nor a fraction that many sources share, nor rows that
+repeat each other are a hot key. A row's place is its range's first place, by
+running counts of the ranges, and its place in the range.
 
 Defined results: a null source is a source of its own; a null text has size 1
 and the checksum of no bytes (0); null and repeated ids are placed like others
@@ -23,13 +26,22 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Rows of a ranking cell at most, about.
-CELL_ROWS = 65_536
+def _numbered(rows: DataFrame, *order) -> DataFrame:
+    """``rows`` sorted by ranges, with ``range`` and ``place``, the row's number in its range."""
+    at = F.monotonically_increasing_id()  # range << 33 | number
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", at).select(
+        *rows.columns, F.shiftright("at", 33).alias("range"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("place")
+    )
+
+
+def _running(counts: DataFrame, *stratum: str) -> DataFrame:
+    """``counts`` (range, n) with ``base``, the rows of the ranges before."""
+    ahead = Window.partitionBy(*stratum).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("base", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
 
 
 def interleave_shards(docs: DataFrame, shards: int = 16, seed: int = 20_240_229) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row."""
-    spark = docs.sparkSession
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     thin = common.materialise(
         docs.select(
@@ -37,41 +49,31 @@ def interleave_shards(docs: DataFrame, shards: int = 16, seed: int = 20_240_229)
             F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("stratum"),
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text).alias("text_crc32"),
-        ).withColumn("mix", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size")),
+        ).select("*", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size").alias("mix"), F.monotonically_increasing_id().alias("row")),
         "shard-rows",
     )
     total = thin.count()
-    cells = max(1, -(-total // CELL_ROWS), min(total, 8 * common.shuffle_partitions(spark)))
-
-    # 1. Rank within a stratum, cell by cell of the hash. Rows are only ever
-    # dealt by (stratum, cell): a stratum with a third of all rows is no hot key.
-    share = F.shiftrightunsigned("mix", 11) / F.lit(float(1 << 53))
-    celled = thin.withColumn("cell", F.floor(share * F.lit(cells)))
-    per_cell = celled.groupBy("stratum", "cell").agg(F.count(F.lit(1)).alias("cell_rows")).repartition("stratum")
-    of_stratum = Window.partitionBy("stratum")
-    before = of_stratum.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_cell.select(
-        "stratum", "cell",
-        F.coalesce(F.sum("cell_rows").over(before), F.lit(0)).alias("base"),
-        F.sum("cell_rows").over(of_stratum).alias("stratum_rows"),
-    )
-    # The hash is ordered as an unsigned number, as its cells are.
-    unsigned = (F.shiftrightunsigned("mix", 1), F.col("mix").bitwiseAND(F.lit(1)))
-    inside = Window.partitionBy("stratum", "cell").orderBy(*unsigned, "doc_id", "text_crc32", "size")
-    ranked = celled.join(offsets, ["stratum", "cell"]).withColumn("rank", F.col("base") + F.row_number().over(inside) - 1)
-    placed = common.materialise(
-        ranked.select("doc_id", "size", "text_crc32", "mix", "stratum", ((F.col("rank") + 0.5) / F.col("stratum_rows")).alias("fraction")),
-        "shard-ranks",
-    ).withColumn("cell", F.floor(F.col("fraction") * F.lit(cells)))
-
-    # 2. Position in the order of fractional ranks, again cell by cell.
-    counts = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("cell_rows"))
-    ahead = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("cell", F.coalesce(F.sum("cell_rows").over(ahead), F.lit(0)).alias("base"))
-    order = Window.partitionBy("cell").orderBy("fraction", "stratum", *unsigned, "doc_id", "text_crc32", "size")
-    position = placed.join(bases, "cell").withColumn("position", F.col("base") + F.row_number().over(order) - 1)
+    # The hash is ordered as an unsigned number.
+    shuffled = (F.shiftrightunsigned("mix", 1), F.col("mix").bitwiseAND(F.lit(1)), F.col("doc_id"), F.col("text_crc32"), F.col("size"), F.col("row"))
+
+    # 1. Rank within a stratum: sorted by it, a row's rank is its stratum's rows in the ranges before, and those ahead in
+    # its own range.
+    sorted_rows = common.materialise(_numbered(thin, F.col("stratum"), *shuffled), "shard-order")
+    per_range = sorted_rows.groupBy("stratum", "range").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+    offsets = _running(per_range.repartition("stratum"), "stratum").withColumn("stratum_rows", F.sum("n").over(Window.partitionBy("stratum")))
+    # A (stratum, range) is no larger than a range.
+    rank = F.col("base") + F.col("place") - F.col("first")
+    ranked = sorted_rows.join(offsets.drop("n"), ["stratum", "range"]).select(
+        "doc_id", "size", "text_crc32", "mix", "row", ((rank + 0.5) / F.col("stratum_rows")).alias("fraction")
+    )
+
+    # 2. Position in the order of fractional ranks. There are few ranges, so their bases are broadcast.
+    placed = common.materialise(_numbered(ranked, F.col("fraction"), *shuffled), "shard-ranks")
+    bases = _running(placed.groupBy("range").agg(F.count(F.lit(1)).alias("n"))).drop("n")
+    position = placed.join(F.broadcast(bases), "range").withColumn("position", F.col("base") + F.col("place"))
 
     # 3. Cut: shard s has the positions with floor(position * shards / total) = s.
+    common.free(thin, sorted_rows)
     return position.withColumn("shard", F.expr(f"cast(position * {shards}L div {max(total, 1)}L as int)")).select(
         "doc_id", "size", "text_crc32", "shard",
         (F.col("position") - F.expr(f"(shard * {total}L + {shards - 1}L) div {shards}L")).cast("long").alias("slot"),
