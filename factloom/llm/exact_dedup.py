@@ -60,13 +60,11 @@ def _resolve(rows: DataFrame, k: int) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns: one of each group."""
-    digest, key, turn = (common.fresh_name(docs, x) for x in ("digest", "key", "turn"))
+    digest, key = (common.fresh_name(docs, x) for x in ("digest", "key"))
     id_key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    groups = exact_groups(docs).filter("kept").select(id_key.alias(key), F.col("text_sha256").alias(digest))
-    stay = docs.withColumns({key: id_key, digest: text_digest()}).join(groups, [key, digest], "left_semi")
-    # The window needs the join's own partitioning, so texts move once.
-    one = Window.partitionBy(key, digest).orderBy(F.lit(0))
-    return stay.withColumn(turn, F.row_number().over(one)).filter(F.col(turn) == 1).select(*docs.columns)
+    stay = exact_groups(docs).filter("kept").groupBy(id_key.alias(key), F.col("text_sha256").alias(digest)).agg(F.count(F.lit(1)).alias("n"))
+    stay = common.materialise(stay, "exact-stay")
+    return common.one_of_each(docs.withColumns({key: id_key, digest: text_digest()}), stay, [key, digest]).select(*docs.columns)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
