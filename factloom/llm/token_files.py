@@ -176,10 +176,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(before + bounds[:-1], pa.int64()), pa.array(sizes, pa.int64()), ids], ["doc_id", "before", "n_tokens", "ids"])
             before += int(bounds[-1])
 
+    # A task writes one file, whatever the session says: ``before`` counts in it.
     order = [F.col("doc_id"), F.xxhash64("text")]
     dealt = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
     dealt.mapInArrow(run, f"doc_id {kind}, before long, n_tokens long, ids array<int>").write.options(
-        **{"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000"}
+        **{"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "maxRecordsPerFile": "0"}
     ).orc(folder)
 
 
