@@ -7,7 +7,8 @@ O(n log n) for n bytes, so one pre-token of megabytes is no special case.
 
 Answers are remembered per Python worker in two bounded tables (pre-tokens,
 and space-separated chunks whose split cannot depend on their neighbours);
-they only save time.
+they only save time. Chunks are used with the pattern that they were proved
+for; with any other one whole texts are split.
 
 Defined results: a null text is encoded as the empty text; repeated rows and
 ids are encoded each; an empty table gives no rows.
@@ -99,8 +100,13 @@ class PerfectHash:
         return at if self.slots[at] == key else -1
 
 
+# Fixed value: the pattern whose matches between two spaces depend on what stands there only.
+_BY_SPACES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 class BytePairCoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.by_chunks = pattern == _BY_SPACES
         self.ranks = ranks
         self.perfect = PerfectHash(list(ranks))
         self.slot_rank = [ranks.get(token, -1) for token in self.perfect.slots]
@@ -155,7 +161,7 @@ class BytePairCoder:
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         first, *rest = text.split(" ")
-        if not first or first[-1].isspace():
+        if not self.by_chunks or not first or first[-1].isspace():
             return self._pieces(text)
         get, out = self.chunks.young.get, [self._pieces(first)]
         for chunk in rest:
