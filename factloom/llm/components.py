@@ -35,8 +35,9 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     state = common.materialise(_small_star(edges.filter("a <> b").select("a", "b")), label)
     mark = _mark(state)
     while True:
-        state = common.materialise(_small_star(_large_star(state)), label)
+        before, state = state, common.materialise(_small_star(_large_star(state)), label)
         old, mark = mark, _mark(state)
+        common.free(before)
         if mark == old:
             return state.select(F.col("a").alias("id"), F.col("b").alias("root"))
 

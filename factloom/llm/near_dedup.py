@@ -19,11 +19,15 @@ the Jaccard similarity for b near 1.
    members outside the largest one are compared with all. So no pair that
    shares a key is left out, and members of a component are never compared
    with each other in vain.
-4. Comparisons are made in blocks of bounded size: sets travel once for each
-   block, and no pair is ever a row. A pair is first judged by the joint
-   likelihood of its registers given both set sizes; only one whose estimate
-   is more than five standard errors below the threshold goes. The others are
-   verified on their full sets.
+4. Comparisons are made by set size first: only sets whose sizes may reach the
+   threshold meet, so a group is cut into levels of size, and a level into blocks
+   of bounded bytes on either side. No pair is ever a row. A pair is first judged
+   by the joint likelihood of its registers given both set sizes; only one whose
+   estimate is more than five standard errors below the threshold goes. The others
+   are verified on their full sets.
+
+Groups and keys with very many rows are found by exact counts; there are few of
+them, so they are joined by broadcast and their rows are dealt by block.
 
 Defined results: a null or wordless text has the empty set (0 shingles) and is
 linked with nothing; a null doc_id cannot name a component: such a row is
@@ -33,12 +37,13 @@ are judged each by its own text; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -49,8 +54,8 @@ BASE, RATE, TOP = 1.001, 20.0, 65_535
 BANDS, BAND_ROWS = 56, 7
 #: Registers that the likelihood reads, and standard errors that it forgives.
 ESTIMATE, FORGIVE = 128, 5.0
-#: Rows of a block of a group, on either side.
-BLOCK = 256
+#: Bytes of the sets of a block, on either side, and its rows at most.
+BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 2_048
 _CHUNK = 1 << 15
 
 
@@ -165,9 +170,9 @@ def _member_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         common.held_alone("near_dedup", dict)
         for batch in batches:
             ids, sets = [], []
-            for i, text, digest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 s = shingle_set(text, width)
-                if len(s) and xxhash.xxh3_128_digest(s.tobytes()) == digest:
+                if len(s):
                     ids.append(i)
                     sets.append(s)
             registers = set_sketches(sets, ESTIMATE) if sets else []
@@ -177,8 +182,8 @@ def _member_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"), "text")
-    # A class' text is found by id and hash, so repeated ids don't matter.
-    found = texts.join(wanted.select("id", "text_hash", "digest"), ["id", "text_hash"]).select("id", "text", "digest")
+    # A class' text is found by id and hash; rows that repeat both give it once.
+    found = common.one_of_each(texts, wanted, ["id", "text_hash"]).select("id", "text")
     return found.mapInArrow(run, "id long, n long, registers binary, members binary")
 
 
@@ -215,48 +220,76 @@ def _compare(threshold: float):
     return run
 
 
+def _levels(left: DataFrame, right: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of either side by level of set size, and the cuts of each (group, level) that both sides have.
+
+    Sizes that differ by more than the threshold allows are never in the same or in neighbouring levels: a right row
+    stands in its own level and in those beside it.
+    """
+    step = math.log(1 / threshold) * 1.0001
+    level = F.floor(F.log(F.col("n").cast("double")) / step).cast("int")
+    left = left.select("group", level.alias("level"), "id", "part")
+    right = right.select("group", F.explode(F.array(level - 1, level, level + 1)).alias("level"), "id", "part")
+    # A set of this level has 8 bytes a shingle; so many fit in a block.
+    fit = F.greatest(F.least(F.floor(BLOCK_BYTES / (8 * F.exp((F.col("level") + 1) * step))), F.lit(BLOCK_ROWS)), F.lit(1))
+    size = lambda df, name: df.groupBy("group", "level").agg(F.count(F.lit(1)).alias(name))
+    cuts = size(left, "left_rows").join(size(right, "right_rows"), ["group", "level"])
+    cuts = cuts.select(
+        "group", "level", "left_rows", "right_rows",
+        F.ceil(F.col("left_rows") / fit).cast("int").alias("left_blocks"), F.ceil(F.col("right_rows") / fit).cast("int").alias("right_blocks"),
+    )
+    return left, right, cuts
+
+
 def _compare_groups(left: DataFrame, right: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links between the left and the right rows (group, id, part) of each group.
+    """Links between the left and the right rows (group, id, n, part) of each group.
 
-    Groups of any size are cut into blocks of about BLOCK rows on either side;
-    each pair of blocks is a task's work, and texts' sets are sent once for
-    each block, not for each pair.
+    Each pair of blocks of a level is a task's work; a set is sent once for
+    each block that it meets, not for each pair.
     """
-    size = lambda df, name: df.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
-    cuts = size(left, "left_blocks").join(size(right, "right_blocks"), "group")
+    left, right, cuts = _levels(left, right, threshold)
+    cuts = common.materialise(cuts, "cuts")
+    total = cuts.agg(F.coalesce(F.sum(F.col("left_rows") + F.col("right_rows")), F.lit(0))).first()[0]
     number = lambda n: F.pmod(F.xxhash64(F.lit(5), "id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    rows = (
-        left.join(cuts, "group").select("group", "id", "part", F.lit(0).alias("side"), number("left_blocks").alias("left_block"), every("right_blocks").alias("right_block"))
-        .unionByName(right.join(cuts, "group").select("group", "id", "part", F.lit(1).alias("side"), every("left_blocks").alias("left_block"), number("right_blocks").alias("right_block")))
-    )
-    return rows.join(sets, "id").groupBy("group", "left_block", "right_block").applyInArrow(_compare(threshold), "a long, b long")
+    keys = ["group", "level"]
+    of_left = common.join_split(left, cuts, keys, "left_rows", total).select(*keys, "id", "part", F.lit(0).alias("side"), number("left_blocks").alias("left_block"), every("right_blocks").alias("right_block"))
+    of_right = common.join_split(right, cuts, keys, "right_rows", total).select(*keys, "id", "part", F.lit(1).alias("side"), every("left_blocks").alias("left_block"), number("right_blocks").alias("right_block"))
+    rows = of_left.unionByName(of_right).join(sets, "id")
+    return rows.groupBy(*keys, "left_block", "right_block").applyInArrow(_compare(threshold), "a long, b long")
 
 
 def _links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Roots of the classes: (id, root) for every class that is not its component's smallest."""
     # 1. Each key's members against its hub, the member that meets most others in all keys.
-    met = members.groupBy("id").agg(F.sum("key_rows").alias("met"))
-    met = common.materialise(members.join(met, "id").select("key", "id", "met"), "met")
-    hubs = met.groupBy("key").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("hub"))
-    pairs = met.join(hubs, "key").filter("id <> hub").select(F.col("hub").alias("group"), "id").distinct()
-    pairs = common.materialise(pairs.withColumn("part", F.col("id")), "hub-pairs")
-    own = pairs.select("group").distinct().select("group", F.col("group").alias("id"), F.col("group").alias("part"))
-    links = common.materialise(_compare_groups(own, pairs, sets, threshold), "hub-links")
+    weight = members.groupBy("id").agg(F.sum("key_rows").alias("met"))
+    met = common.materialise(members.join(weight, "id").select("key", "key_rows", "id", "n", "met"), "met")
+    total = met.count()
+    hubs = met.groupBy("key").agg(F.max_by(F.struct("id", "n"), F.struct("met", -F.col("id"))).alias("hub"), F.count(F.lit(1)).alias("rows"))
+    hubs = common.materialise(hubs.select("key", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), "rows"), "hubs")
+    pairs = common.join_split(met.select("key", "id", "n"), hubs, ["key"], "rows", total).filter("id <> hub")
+    pairs = common.materialise(pairs.select(F.col("hub").alias("group"), "hub_n", "id", "n", F.col("id").alias("part")).distinct(), "hub-pairs")
+    own = pairs.select("group", F.col("group").alias("id"), F.col("hub_n").alias("n"), F.col("group").alias("part")).distinct()
+    links = common.materialise(_compare_groups(own, pairs.drop("hub_n"), sets, threshold), "hub-links")
     roots = connected_components(links)
+    common.free(hubs, pairs, links)
 
     # 2. In keys with several components, what is outside the largest one against all. A
     # group is a component with the outsiders of all keys in which it is the largest, so
     # a pair that shares many keys is compared once.
-    placed = met.join(roots, "id", "left").select("key", "id", "met", F.coalesce("root", "id").alias("part"))
-    mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
-    placed = common.materialise(placed.join(mixed, "key", "left_semi"), "mixed-keys")
-    parts = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("rows"), F.max("met").alias("met"))
-    tops = parts.groupBy("key").agg(F.max_by("part", F.struct("rows", "met", -F.col("part"))).alias("group"))
-    outside = placed.join(tops, "key").filter(F.col("part") != F.col("group")).select("group", "id", "part").distinct()
+    placed = met.join(roots, "id", "left").select("key", "id", "n", "met", F.coalesce("root", "id").alias("part"))
+    mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo < hi").select("key", "rows")
+    placed = common.materialise(common.join_split(placed, common.materialise(mixed, "mixed"), ["key"], "rows", total), "mixed-keys")
+    parts = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("part_rows"), F.max("met").alias("met"))
+    tops = parts.groupBy("key").agg(F.max_by("part", F.struct("part_rows", "met", -F.col("part"))).alias("group"), F.sum("part_rows").alias("rows"))
+    tops = common.materialise(tops, "tops")
+    outside = common.join_split(placed.drop("rows"), tops, ["key"], "rows", total).filter(F.col("part") != F.col("group")).select("group", "id", "n", "part").distinct()
     outside = common.materialise(outside, "outsiders")
-    whole = placed.select("id", F.col("part").alias("group"), "part").distinct().join(outside.select("group").distinct(), "group", "left_semi")
+    whole = common.materialise(placed.select("id", "n", F.col("part").alias("group"), "part").distinct(), "mixed-whole")
+    wanted = whole.groupBy("group").agg(F.count(F.lit(1)).alias("rows")).join(outside.select("group").distinct(), "group", "left_semi")
+    whole = common.join_split(whole, common.materialise(wanted, "mixed-groups"), ["group"], "rows", total)
     more = common.materialise(_compare_groups(outside, outside.unionByName(whole.select(*outside.columns)), sets, threshold), "outsider-links")
+    common.free(met, placed, tops, outside)
     if more.isEmpty():
         return roots
     return connected_components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
@@ -267,30 +300,38 @@ def near_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> Data
     common.bound_batches(docs.sparkSession)
     sketches = common.materialise(_sketch_documents(docs, width), "sketches")
     full = sketches.filter("digest is not null and id is not null")
-    classes = full.groupBy("digest").agg(F.min(F.struct("id", "text_hash")).alias("first"))
-    classes = common.materialise(classes.select("digest", F.col("first.id").alias("id"), F.col("first.text_hash").alias("text_hash")), "classes")
-    banded = full.join(classes, ["digest", "id", "text_hash"], "left_semi").select("id", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("key_rows")).filter("key_rows > 1")
-    members = common.materialise(banded.join(shared, "key"), "members")
-    wanted = classes.join(members.select("id").distinct(), "id", "left_semi")
-    sets = common.materialise(_member_sets(docs, wanted, width), "member-sets")
+    # Rows that repeat an id and a text count once; how often they come is kept, for the joins.
+    repeats = full.groupBy("digest", "n", "id", "text_hash").agg(F.count(F.lit(1)).alias("repeats"))
+    classes = repeats.groupBy("digest", "n").agg(F.min(F.struct("id", "text_hash", "repeats")).alias("first"), F.sum("repeats").alias("rows"))
+    classes = common.materialise(classes.select("digest", F.col("n").alias("size"), "rows", "first.*"), "classes")
+    chosen = classes.select("digest", "id", "text_hash", F.col("repeats").alias("n"))
+    one = common.one_of_each(full.select("digest", "id", "text_hash", "n", "keys"), chosen, ["digest", "id", "text_hash"])
+    banded = common.materialise(one.select("id", "n", F.explode("keys").alias("key")), "bands")
+    shared = common.materialise(banded.groupBy("key").agg(F.count(F.lit(1)).alias("key_rows")).filter("key_rows > 1"), "shared-keys")
+    total = shared.agg(F.coalesce(F.sum("key_rows"), F.lit(0))).first()[0]
+    members = common.materialise(common.join_split(banded, shared, ["key"], "key_rows", total), "members")
+    wanted = classes.select("id", "text_hash", F.col("repeats").alias("n")).join(members.select("id").distinct(), "id", "left_semi")
+    sets = common.materialise(_member_sets(docs, common.materialise(wanted, "wanted"), width), "member-sets")
+    common.free(banded, shared)
     roots = _links(members, sets, threshold)
-    named = classes.join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("of_class"))
-    out = sketches.select("id", "text_hash", "n", F.when(F.col("id").isNotNull(), F.col("digest")).alias("digest")).join(named, "digest", "left")
-    component = F.coalesce("of_class", "id")
-    return out.select(
-        F.col("id").alias("doc_id"), "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept")
+    common.free(members, sets)
+    named = classes.join(roots, "id", "left").select("digest", "rows", F.coalesce("root", "id").alias("of_class"))
+    named = common.materialise(named, "named")
+    own = ("id", "text_hash", "n")
+    linked = common.join_split(full.select(*own, "digest"), named, ["digest"], "rows", sketches.count()).select(*own, "of_class")
+    alone = sketches.filter("digest is null or id is null").select(*own, F.col("id").alias("of_class"))
+    return linked.unionByName(alone).select(
+        F.col("id").alias("doc_id"), "text_hash", F.col("n").alias("n_shingles"), F.col("of_class").alias("component_id"), F.col("id").eqNullSafe(F.col("of_class")).alias("kept")
     )
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns: one document of each group."""
-    key, of_text, turn = (common.fresh_name(docs, x) for x in ("key", "hash", "turn"))
-    id_key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    groups = near_groups(docs, width, threshold).filter("kept").select(id_key("doc_id").alias(key), F.col("text_hash").alias(of_text))
-    stay = docs.withColumns({key: id_key("doc_id"), of_text: F.xxhash64("text")}).join(groups, [key, of_text], "left_semi")
-    one = Window.partitionBy(key, of_text).orderBy(F.lit(0))
-    return stay.withColumn(turn, F.row_number().over(one)).filter((F.col(turn) == 1) | F.col("doc_id").isNull()).select(*docs.columns)
+    """The rows of ``docs`` that stay, with their columns: one document of each group, and every row without an id."""
+    key, of_text = (common.fresh_name(docs, x) for x in ("key", "hash"))
+    stay = near_groups(docs, width, threshold).filter("kept and doc_id is not null")
+    stay = common.materialise(stay.groupBy(F.col("doc_id").alias(key), F.col("text_hash").alias(of_text)).agg(F.count(F.lit(1)).alias("n")), "near-stay")
+    known = docs.filter("doc_id is not null").withColumns({key: F.col("doc_id").cast("long"), of_text: F.xxhash64("text")})
+    return common.one_of_each(known, stay, [key, of_text]).select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
