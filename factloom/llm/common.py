@@ -23,6 +23,8 @@ BATCH_ROWS, BATCH_BYTES = 64, 16 << 20
 
 #: Keys with more than one in so many of the rows are heavy: no more than so many exist.
 HEAVY_SHARE, HEAVY_ROWS = 16_384, 1_024
+#: Bits of a sieve: 2 MB, in 262,144 rows.
+SIEVE_BITS = 1 << 24
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +114,20 @@ def join_split(rows: DataFrame, counts: DataFrame, keys: list[str], n: str, tota
     return rows.join(F.broadcast(hot), keys).unionByName(light)
 
 
+def sieved(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` without most of those whose keys aren't in ``wanted``: a semi-join still decides.
+
+    The sieve has one bit for each hash, SIEVE_BITS of them at most whatever the
+    input, so it is broadcast; a crowded one lets more rows through and loses none.
+    """
+    bit = F.pmod(F.xxhash64(F.lit(41), *keys), F.lit(SIEVE_BITS))
+    word, mask = fresh_name(rows, "word"), fresh_name(rows, "mask")
+    one = F.expr(f"shiftleft(1L, cast({word}_bit & 63 as int))")
+    words = wanted.select(bit.alias(f"{word}_bit")).groupBy(F.shiftright(f"{word}_bit", 6).alias(word)).agg(F.bit_or(one).alias(mask))
+    found = rows.withColumn(f"{word}_bit", bit).withColumn(word, F.shiftright(f"{word}_bit", 6)).join(F.broadcast(words), word)
+    return found.filter(F.col(mask).bitwiseAND(one) != 0).select(*rows.columns)
+
+
 def one_of_each(docs: DataFrame, stay: DataFrame, keys: list[str]) -> DataFrame:
     """One row of ``docs`` for each key that ``stay`` (keys, n rows of it) has.
 

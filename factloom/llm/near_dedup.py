@@ -43,7 +43,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -55,7 +55,7 @@ BANDS, BAND_ROWS = 56, 7
 #: Registers that the likelihood reads, and standard errors that it forgives.
 ESTIMATE, FORGIVE = 128, 5.0
 #: Bytes of the sets of a block, on either side, and its rows at most.
-BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 2_048
+BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 512
 _CHUNK = 1 << 15
 
 
@@ -182,8 +182,8 @@ def _member_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"), "text")
-    # A class' text is found by id and hash; rows that repeat both give it once.
-    found = common.one_of_each(texts, wanted, ["id", "text_hash"]).select("id", "text")
+    # A class' text is found by id and hash; rows that repeat both give it once. Most texts are left where they lie.
+    found = common.one_of_each(common.sieved(texts, wanted, ["id", "text_hash"]), wanted, ["id", "text_hash"]).select("id", "text")
     return found.mapInArrow(run, "id long, n long, registers binary, members binary")
 
 
@@ -220,25 +220,23 @@ def _compare(threshold: float):
     return run
 
 
-def _levels(left: DataFrame, right: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows of either side by level of set size, and the cuts of each (group, level) that both sides have.
+def _level(threshold: float):
+    """Level of a set size: sizes that differ by more than the threshold allows are never in the same or in neighbouring ones."""
+    return F.floor(F.log(F.col("n").cast("double")) / (math.log(1 / threshold) * 1.0001)).cast("int")
 
-    Sizes that differ by more than the threshold allows are never in the same or in neighbouring levels: a right row
-    stands in its own level and in those beside it.
-    """
-    step = math.log(1 / threshold) * 1.0001
-    level = F.floor(F.log(F.col("n").cast("double")) / step).cast("int")
-    left = left.select("group", level.alias("level"), "id", "part")
-    right = right.select("group", F.explode(F.array(level - 1, level, level + 1)).alias("level"), "id", "part")
-    # A set of this level has 8 bytes a shingle; so many fit in a block.
-    fit = F.greatest(F.least(F.floor(BLOCK_BYTES / (8 * F.exp((F.col("level") + 1) * step))), F.lit(BLOCK_ROWS)), F.lit(1))
+
+def _cuts(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Each (group, level) of left rows that right rows of this or a neighbouring level (beside) may meet, and its numbers of blocks."""
     size = lambda df, name: df.groupBy("group", "level").agg(F.count(F.lit(1)).alias(name))
-    cuts = size(left, "left_rows").join(size(right, "right_rows"), ["group", "level"])
-    cuts = cuts.select(
-        "group", "level", "left_rows", "right_rows",
-        F.ceil(F.col("left_rows") / fit).cast("int").alias("left_blocks"), F.ceil(F.col("right_rows") / fit).cast("int").alias("right_blocks"),
-    )
-    return left, right, cuts
+    level = F.col("level")
+    near = size(left, "left_rows").withColumn("beside", F.explode(F.array(level - 1, level, level + 1)))
+    met = near.join(size(right, "n").withColumnRenamed("level", "beside"), ["group", "beside"])
+    # A set of this level has 8 bytes a shingle; so many fit in a block.
+    step = math.log(1 / threshold) * 1.0001
+    fit = F.greatest(F.least(F.floor(BLOCK_BYTES / (8 * F.exp((level + 1) * step))), F.lit(BLOCK_ROWS)), F.lit(1))
+    right_rows = F.sum("n").over(Window.partitionBy("group", "level"))
+    blocks = lambda rows: F.ceil(rows / fit).cast("int")
+    return met.select("group", "level", "beside", "left_rows", "n", blocks(F.col("left_rows")).alias("left_blocks"), blocks(right_rows).alias("right_blocks"))
 
 
 def _compare_groups(left: DataFrame, right: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -247,16 +245,20 @@ def _compare_groups(left: DataFrame, right: DataFrame, sets: DataFrame, threshol
     Each pair of blocks of a level is a task's work; a set is sent once for
     each block that it meets, not for each pair.
     """
-    left, right, cuts = _levels(left, right, threshold)
-    cuts = common.materialise(cuts, "cuts")
-    total = cuts.agg(F.coalesce(F.sum(F.col("left_rows") + F.col("right_rows")), F.lit(0))).first()[0]
+    level = _level(threshold)
+    left, right = (df.select("group", level.alias("level"), "id", "part") for df in (left, right))
+    cuts = common.materialise(_cuts(left, right, threshold), "cuts")
+    keys = ["group", "level"]
+    of_left = cuts.groupBy(*keys).agg(F.first("left_rows").alias("left_rows"), F.first("left_blocks").alias("left_blocks"), F.first("right_blocks").alias("right_blocks"))
+    total = cuts.agg(F.coalesce(F.sum("left_rows") + F.sum("n"), F.lit(0))).first()[0]
     number = lambda n: F.pmod(F.xxhash64(F.lit(5), "id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    keys = ["group", "level"]
-    of_left = common.join_split(left, cuts, keys, "left_rows", total).select(*keys, "id", "part", F.lit(0).alias("side"), number("left_blocks").alias("left_block"), every("right_blocks").alias("right_block"))
-    of_right = common.join_split(right, cuts, keys, "right_rows", total).select(*keys, "id", "part", F.lit(1).alias("side"), every("left_blocks").alias("left_block"), number("right_blocks").alias("right_block"))
-    rows = of_left.unionByName(of_right).join(sets, "id")
-    return rows.groupBy(*keys, "left_block", "right_block").applyInArrow(_compare(threshold), "a long, b long")
+    one = common.join_split(left, common.materialise(of_left, "left-cuts"), keys, "left_rows", total)
+    other = common.join_split(right.withColumnRenamed("level", "beside"), cuts, ["group", "beside"], "n", total)
+    rows = one.select(*keys, "id", "part", F.lit(0).alias("side"), number("left_blocks").alias("left_block"), every("right_blocks").alias("right_block")).unionByName(
+        other.select(*keys, "id", "part", F.lit(1).alias("side"), every("left_blocks").alias("left_block"), number("right_blocks").alias("right_block"))
+    )
+    return rows.join(sets, "id").groupBy(*keys, "left_block", "right_block").applyInArrow(_compare(threshold), "a long, b long")
 
 
 def _links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
