@@ -28,19 +28,30 @@ SOURCE_ADMITS: dict[str, tuple[str, ...]] = {
 }
 
 
+def source_kind(name: Column) -> Column:
+    """The kind of a source from its symbol's name; a name that isn't reserved is an observation."""
+    return F.when(name.isin(*SOURCE_BOUNDS), name).otherwise(F.lit("observation"))
+
+
 def divide(a: Column, b: Column) -> Column:
     """Integer division; all operands here are non-negative."""
     return F.call_function("div", a, b)
 
 
-def half_lives(spark: SparkSession, overrides: dict[tuple[str, str], int] | None = None) -> DataFrame:
-    """(kind, source, half_life_ms); an override of 0 days stands for no decay, unknown keys are ignored."""
+def _days(overrides) -> dict[tuple[str, str], int | None]:
+    """Half-lives with overrides; an override of 0 days stands for no decay, unknown keys are ignored."""
     days = dict(HALF_LIFE_DAYS)
-    for key, value in (overrides or {}).items():
+    for key, value in dict(overrides or {}).items():
         if value < 0:
             raise ValueError("a half-life is not negative")
         if key in days:
             days[key] = value or None
+    return days
+
+
+def half_lives(spark: SparkSession, overrides: dict[tuple[str, str], int] | None = None) -> DataFrame:
+    """(kind, source, half_life_ms)."""
+    days = _days(overrides)
     rows = [(k, s, 0 if d is None else d * DAY_MS) for (k, s), d in days.items()]
     return spark.createDataFrame(rows, "kind string, source string, half_life_ms long")
 
@@ -52,10 +63,10 @@ def lookup(values: dict, key: Column, default=None) -> Column:
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
-def half_life_ms(kind: str, source: Column) -> Column:
+def half_life_ms(kind: str, source: Column, overrides=None) -> Column:
     if kind == "pro":
         return F.lit(0).cast("long")
-    return lookup({s: (d or 0) * DAY_MS for (k, s), d in HALF_LIFE_DAYS.items() if k == kind}, source).cast("long")
+    return lookup({s: (d or 0) * DAY_MS for (k, s), d in _days(overrides).items() if k == kind}, source).cast("long")
 
 
 def _halves() -> Column:

@@ -113,8 +113,20 @@ def parents_fit(method: Column, n: Column) -> Column:
     return out
 
 
-def is_stale(method: Column, n_parents: Column, n_superseded: Column) -> Column:
-    """Whether superseded parents make the row stale, by its method's rule."""
-    out = n_superseded > 0
-    out = F.when(method == "pattern_summarize", 2 * n_superseded > n_parents).otherwise(out)
-    return F.when(method == "multi_source_consensus", n_parents - n_superseded < 2).otherwise(out)
+def is_stale(method: Column, n_parents: Column, n_superseded: Column, count_changed: Column | None = None, new_conflict: Column | None = None) -> Column:
+    """Whether an inferred row is stale, by its method's rule.
+
+    ``count_changed``: whether the set that the parents stand for has gained or
+    lost a member; a superseded parent is no longer a member, so that counts
+    too. ``new_conflict``: whether a record in conflict came on the row's key.
+    """
+    changed, conflict = (F.lit(False) if c is None else F.coalesce(c, F.lit(False)) for c in (count_changed, new_conflict))
+    tests = {
+        "any_parent": n_superseded > 0, "either_endpoint": n_superseded > 0, "over_half": 2 * n_superseded > n_parents,
+        "parent_count_changes": changed | (n_superseded > 0), "fewer_than_two_remain": n_parents - n_superseded < 2,
+        "any_parent_or_new_conflict": (n_superseded > 0) | conflict,
+    }
+    out = F.lit(None).cast("boolean")
+    for rule, test in tests.items():
+        out = F.when(method.isin(*(m for m, r in STALENESS_RULES.items() if r == rule)), test).otherwise(out)
+    return out

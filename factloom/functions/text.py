@@ -37,17 +37,19 @@ def lisp_string(text: Column) -> Column:
     return F.concat(F.lit('"'), out, F.lit('"'))
 
 
+# One pass from left to right: CSI to its final character, OSC to BEL or ESC backslash, ESC with any one character, controls.
+_UNSAFE = "(?s)\\x1b\\[[^@-~]*[@-~]?|\\x1b\\].*?(?:\\x07|\\x1b\\\\|\\z)|\\x1b.?|[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f]"
+_BLANK = "[\\t-\\r\\x85\\p{Z}]+"
+
+
 def terminal_safe(text: Column) -> Column:
     """Without terminal escapes and control characters but tab and line ends."""
-    out = F.regexp_replace(text, "\\x1b\\[[^@-~]*[@-~]?", "")
-    out = F.regexp_replace(out, "(?s)\\x1b\\][^\\x07\\x1b]*(?:\\x07|\\x1b\\\\|$)?", "")
-    out = F.regexp_replace(out, "(?s)\\x1b.?", "")
-    return F.regexp_replace(out, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f]", "")
+    return F.regexp_replace(text, _UNSAFE, "")
 
 
 def preview(text: Column, most: int = 80) -> Column:
     """One line: white space collapsed, cut to 77 characters and an ellipsis beyond 80."""
-    line = F.trim(F.regexp_replace(terminal_safe(text), r"\s+", " "))
+    line = F.trim(F.regexp_replace(terminal_safe(text), _BLANK, " "))
     return F.when(F.length(line) > most, F.concat(F.substring(line, 1, most - 3), F.lit("..."))).otherwise(line)
 
 
@@ -70,9 +72,30 @@ def like_pattern(term: Column) -> Column:
 
 
 def workspace_id(url: Column) -> Column:
-    """SHA-256 of the remote's URL in lower case without ``.git`` and a final slash."""
-    plain = F.regexp_replace(F.lower(F.trim(url)), r"\.git$", "")
-    return F.sha2(F.regexp_replace(plain, "/$", ""), 256)
+    """SHA-256 of the remote's URL, trimmed, with A-Z in lower case, without ``.git`` and a final slash; null for an empty one."""
+    plain = F.regexp_replace(url, f"^{_BLANK}|{_BLANK}$", "")
+    plain = F.translate(plain, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"\.git$", ""), "/$", "")
+    return F.when(plain != "", F.sha2(plain, 256))
+
+
+def origin_url(config: Column) -> Column:
+    """The URL of the remote ``origin`` in the text of a git configuration; null if it has none.
+
+    Comments and blank lines are skipped; the section's name may be quoted either way or bare.
+    """
+    lines = F.transform(F.split(config, "\r?\n"), lambda x: F.regexp_replace(x, f"^{_BLANK}|{_BLANK}$", ""))
+    lines = F.filter(lines, lambda x: (x != "") & ~x.startswith("#") & ~x.startswith(";"))
+    head = lambda x: F.regexp_replace(F.regexp_replace(x, r"^[\[\]]+|[\[\]]+$", ""), f"^{_BLANK}|{_BLANK}$", "")
+    state = F.struct(F.lit(False).alias("inside"), F.lit(None).cast("string").alias("url"))
+
+    def step(acc, line):
+        value = F.regexp_extract(line, r"^url[\t-\r\p{Z}]*=(.*)$", 1)
+        found = acc["inside"] & acc["url"].isNull() & line.rlike(r"^url[\t-\r\p{Z}]*=")
+        inside = F.when(line.startswith("["), head(line).isin('remote "origin"', "remote 'origin'", "remote origin")).otherwise(acc["inside"])
+        return F.struct(inside.alias("inside"), F.when(found, F.regexp_replace(value, f"^{_BLANK}|{_BLANK}$", "")).otherwise(acc["url"]).alias("url"))
+
+    return F.aggregate(lines, state, step, lambda acc: acc["url"])
 
 
 def repository_slug(url: Column) -> Column:

@@ -23,6 +23,15 @@ def born_stale(inferred: DataFrame, edges: DataFrame) -> DataFrame:
     return hit.groupBy(F.col("memory_id").alias("inf_id")).agg(F.coalesce(F.bool_or(F.col("first_pos") < F.col("log_pos")), F.lit(False)).alias("stale"))
 
 
+def edges_of(edges: DataFrame) -> DataFrame:
+    """(direction, of_id, other_id): each edge as its source and as its target sees it."""
+    both = F.array(
+        F.struct(F.lit("out").alias("direction"), F.col("from_id").alias("of_id"), F.col("to_id").alias("other_id")),
+        F.struct(F.lit("in").alias("direction"), F.col("to_id").alias("of_id"), F.col("from_id").alias("other_id")),
+    )
+    return edges.select(F.inline(both))
+
+
 def walk(links: DataFrame, start: DataFrame, most: int = 1024) -> DataFrame:
     """(root, id, depth): everything that each start (root, id) reaches over single links (id, to).
 
@@ -43,9 +52,18 @@ def walk(links: DataFrame, start: DataFrame, most: int = 1024) -> DataFrame:
 
 
 def ancestors(parents: DataFrame, start: DataFrame, most: int = 1024) -> DataFrame:
-    """(id, depth) of the ``start`` ids and all their ancestors; ``parents`` has id, parent."""
-    links = parents.filter("parent is not null").select("id", F.col("parent").alias("to"))
-    return walk(links, start.select(F.col("id").alias("root"), "id"), most).groupBy("id").agg(F.min("depth").alias("depth"))
+    """(id, depth) of the ``start`` ids and all their ancestors; ``parents`` has id, parent.
+
+    For few starts: the frontier grows level by level, and each level reads
+    the links of the ids reached and no others.
+    """
+    links = parents.filter("parent is not null")
+    return start.sparkSession.sql(
+        f"""WITH RECURSIVE up(id, depth) AS (
+            SELECT id, 0L FROM {{start}} UNION ALL SELECT l.parent, u.depth + 1 FROM up u JOIN {{links}} l ON l.id = u.id WHERE u.depth + 1 < {int(most)})
+        SELECT id, min(depth) AS depth FROM up GROUP BY id""",
+        start=start.select("id"), links=links.select("id", "parent"),
+    )
 
 
 def suspect_edges(edges: DataFrame, positions: DataFrame) -> DataFrame:

@@ -54,8 +54,16 @@ def resolve(history: DataFrame, as_of=None, as_committed=None, retro_edges: str
     return latest(authoritative_rows(history, as_of, as_committed, retro_edges), *key)
 
 
-def resolve_procedural(history: DataFrame, as_committed=None) -> DataFrame:
-    """The standing row of each rule: its valid time is its commit time."""
+def resolve_procedural(history: DataFrame, as_of=None, as_committed=None) -> DataFrame:
+    """The standing row of each rule at (as_of, as_committed).
+
+    A procedural row is valid from its commit, and ends at the commit of the
+    first row that supersedes it, if that is known by ``as_committed``.
+    """
     out = history if as_committed is None else history.filter(F.col("committed_at") <= as_committed)
-    closed = F.col("close_committed").isNotNull() if as_committed is None else F.coalesce(F.col("close_committed") <= as_committed, F.lit(False))
-    return latest(out.filter(~closed), "rule_id")
+    ends = F.col("close_committed")
+    closed = ends.isNotNull() if as_committed is None else ends <= as_committed
+    if as_of is not None:
+        out = out.filter(F.col("committed_at") <= as_of)
+        closed = closed & (ends <= as_of)
+    return latest(out.filter(~F.coalesce(closed, F.lit(False))), "rule_id")

@@ -49,17 +49,39 @@ def scenario_verdicts(summary: DataFrame) -> DataFrame:
     return out.select("scenario", "wins", fine.alias("hallucinations_ok"), fresh.alias("staleness_ok"), ((F.col("wins") >= WINS_NEEDED) & fine & fresh).alias("win"))
 
 
-def benchmark_verdict(verdicts: DataFrame) -> DataFrame:
-    """Won if at least two thirds of the scenarios are."""
-    out = verdicts.agg(F.count("*").alias("scenarios"), F.count_if("win").alias("wins"))
-    out = out.withColumn("required_wins", F.expr("(2 * scenarios + 2) div 3"))
-    return out.withColumn("benchmark_win", F.col("wins") >= F.col("required_wins"))
+def benchmark_verdict(verdicts: DataFrame, scenarios: DataFrame | None = None) -> DataFrame:
+    """Won if all scenarios are complete and at least two thirds of them are won.
+
+    ``scenarios`` (scenario, complete) lists all of them; without it those with a verdict are all there are.
+    """
+    known = scenarios if scenarios is not None else verdicts.select("scenario", F.lit(True).alias("complete"))
+    rows = known.join(verdicts.select("scenario", "win"), "scenario", "left")
+    out = rows.agg(F.count("*").alias("scenarios"), F.count_if("complete").alias("complete_scenarios"), F.count_if(F.col("complete") & F.col("win")).alias("wins"))
+    out = out.withColumn("required_wins", F.expr("(2 * complete_scenarios + 2) div 3"))
+    whole = (F.col("scenarios") > 0) & (F.col("complete_scenarios") == F.col("scenarios"))
+    return out.withColumn("benchmark_win", whole & (F.col("wins") >= F.col("required_wins")))
+
+
+# What a score row must hold to be complete.
+SCORE_FIELDS = ("minutes", "correct", "prompted", "wrong", "silent", "hallucinations", "decisions", "stale", "input_tokens", "output_tokens")
+
+
+def completeness(scores: DataFrame, transcripts_ready: Column | None = None) -> DataFrame:
+    """scenario, missing fields over its arms, and whether it is complete; a run that did not recover has its minutes in ``did_not_recover``."""
+    gone = [F.col(c).isNull() if c != "minutes" else F.col(c).isNull() & ~F.coalesce("did_not_recover", F.lit(False)) for c in SCORE_FIELDS]
+    missing = sum((g.cast("long") for g in gone), F.lit(0).cast("long"))
+    ready = F.lit(True) if transcripts_ready is None else transcripts_ready
+    out = scores.groupBy("scenario").agg(F.sum(missing).alias("missing"), F.bool_and(ready).alias("transcripts_ready"))
+    return out.withColumn("complete", (F.col("missing") == 0) & F.col("transcripts_ready"))
 
 
 def audit(scores: DataFrame, cutoff: float, staleness_tests: int) -> DataFrame:
+    """The first rule that a complete score row breaks; ``facts`` is the number of facts in the scenario's ground truth."""
+    total = F.col("correct") + F.col("prompted") + F.col("wrong") + F.col("silent")
     problem = (
-        F.when(F.col("correct") > F.col("facts"), "fact_total").when(F.col("hallucinations") > F.col("decisions"), "hallucinations_over_total")
-        .when(F.col("stale") > staleness_tests, "stale_over_tests").when(F.col("minutes") > cutoff, "time_over_cutoff")
+        F.when(F.col("minutes") > cutoff, "time_over_cutoff").when(F.col("decisions") == 0, "no_decisions")
+        .when(F.col("stale") > staleness_tests, "stale_over_tests").when(total != F.col("facts"), "fact_total")
+        .when(F.col("hallucinations") > F.col("decisions"), "hallucinations_over_total")
     )
     return scores.select("scenario", "baseline", problem.alias("problem"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Page sizes, and the columns that a session store must have.
-DEFAULT_LIMIT, MOST, CHECKPOINT_LIMIT = 10, 100, 5
+DEFAULT_LIMIT, MOST, CHECKPOINT_LIMIT, EXCERPT = 10, 100, 5, 400
 EXPECTED = {
     "sessions": ("id", "repository", "branch", "summary", "created_at", "updated_at"),
     "turns": ("session_id", "turn_index", "user_message", "assistant_response", "timestamp"),
@@ -58,11 +58,13 @@ def search(sessions: DataFrame, turns: DataFrame, files: DataFrame, term: str, r
     """Turns that mention the term come first, newest first; files fill what is left of the limit."""
     n = clamp(limit)
     own = _repository(sessions, repository).select(F.col("id").alias("session_id"), "summary")
-    has = lambda c: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(term.lower()))
+    # As LIKE does: letter case counts for no ASCII letter; wildcards in the term stand for themselves.
+    fold = lambda x: F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    has = lambda c: F.contains(fold(F.coalesce(c, F.lit(""))), fold(F.lit(term)))
     of_turns = turns.join(own, "session_id").filter(has("user_message") | has("assistant_response") | has("summary"))
-    of_turns = of_turns.select(F.lit(0).alias("rank"), "session_id", "turn_index", F.col("timestamp").alias("at"), F.substring(turn_excerpt(), 1, 240).alias("excerpt"))
+    of_turns = of_turns.select(F.lit(0).alias("rank"), "session_id", "turn_index", F.col("timestamp").alias("at"), F.substring(turn_excerpt(), 1, EXCERPT).alias("excerpt"))
     of_files = files.join(own, "session_id").filter(has("file_path"))
-    of_files = of_files.select(F.lit(1).alias("rank"), "session_id", "turn_index", F.col("first_seen_at").alias("at"), F.col("file_path").alias("excerpt"))
+    of_files = of_files.select(F.lit(1).alias("rank"), "session_id", "turn_index", F.col("first_seen_at").alias("at"), F.concat("file_path", F.coalesce(F.concat(F.lit(" ("), "tool_name", F.lit(")")), F.lit(""))).alias("excerpt"))
     return of_turns.unionByName(of_files).orderBy("rank", F.desc("at"), "session_id", "turn_index", "excerpt").limit(n)
 
 

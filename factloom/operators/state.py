@@ -24,6 +24,41 @@ def retired_symbols(symbol_events: DataFrame) -> DataFrame:
     return last_event(symbol_events, "symbol_id", ("retire", "unretire")).filter("event = 'retire'").select("symbol_id")
 
 
+# The fields of each kind of record that refer to symbols. Objects, triggers, actions and preconditions do so
+# only where their value is a symbol.
+REFERENCE_FIELDS = {
+    "sem": ("s", "p", "source", "o"), "epi": ("event_id", "kind", "location", "source", "participants"),
+    "pro": ("rule_id", "scope", "source", "trigger", "action", "precondition"), "inf": ("s", "p", "method", "o", "derived_from"),
+}
+_MANY = ("participants", "derived_from")
+
+
+def references(kind: str, **fields: Column) -> Column:
+    """The symbols that a record refers to, from its fields: arrays for participants and parents, one symbol for others."""
+    unknown = set(fields) - set(REFERENCE_FIELDS[kind])
+    if unknown:
+        raise ValueError(f"records of kind {kind} have no symbols in {sorted(unknown)}")
+    single = F.array(*(c for name, c in fields.items() if name not in _MANY))
+    return F.array_compact(F.concat(single, *(c for name, c in fields.items() if name in _MANY)))
+
+
+def refers_to(rows: DataFrame, symbols: DataFrame) -> DataFrame:
+    """memory_id of the ``rows`` (with refs) that refer to any of ``symbols``."""
+    named = rows.select("memory_id", F.explode("refs").alias("ref"))
+    return named.join(symbols.select(F.col(symbols.columns[0]).alias("ref")), "ref", "left_semi").select("memory_id").distinct()
+
+
+def record_states(flag_events: DataFrame, retired: DataFrame) -> DataFrame:
+    """memory_id, pinned, authoritative and retired of each memory that has any of them: one table for one join."""
+    last = lambda *kinds: F.max_by("event", F.when(F.col("event").isin(*kinds), F.col("log_pos")))
+    flags = flag_events.groupBy("memory_id").agg(
+        F.coalesce(last("pin", "unpin") == "pin", F.lit(False)).alias("pinned"),
+        F.coalesce(last("authoritative_set", "authoritative_clear") == "authoritative_set", F.lit(False)).alias("authoritative"), F.lit(False).alias("retired"),
+    )
+    gone = retired.select("memory_id", F.lit(False).alias("pinned"), F.lit(False).alias("authoritative"), F.lit(True).alias("retired"))
+    return flags.unionByName(gone).groupBy("memory_id").agg(*(F.bool_or(c).alias(c) for c in ("pinned", "authoritative", "retired")))
+
+
 def pinned(flag_events: DataFrame) -> DataFrame:
     return last_event(flag_events, "memory_id", ("pin", "unpin")).filter("event = 'pin'").select("memory_id")
 

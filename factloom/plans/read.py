@@ -43,6 +43,7 @@ class ReadSpec:
     confidence_threshold: float = 0.5
     limit: int | None = DEFAULT_LIMIT  # None: all rows
     retro_edges: str = resolve.SPEC
+    half_life_days: tuple[tuple[tuple[str, str], int], ...] = ()  # overrides by (kind, source); 0 for no decay
 
     def checked(self) -> ReadSpec:
         if self.kind is not None and self.kind not in KINDS:
@@ -84,7 +85,7 @@ class ReadResult:
     clocks: DataFrame
 
 
-_COLUMNS = ("kind", "kind_rank", "memory_id", "s", "p", "o", "source", "confidence", "valid_at", "committed_at", "log_pos", "projected")
+_COLUMNS = ("kind", "kind_rank", "memory_id", "s", "p", "o", "source", "confidence", "valid_at", "committed_at", "log_pos", "projected", "refs")
 
 
 def _shape(rows: DataFrame, kind: str, rank: int) -> DataFrame:
@@ -97,6 +98,8 @@ def _shape(rows: DataFrame, kind: str, rank: int) -> DataFrame:
             return fixed[c].alias(c)
         if c == "projected":
             return (F.col(c) if c in given else F.lit(False)).alias(c)
+        if c == "refs":
+            return (F.col(c) if c in given else F.array().cast("array<string>")).alias(c)
         if kind == "pro" and c == "valid_at":
             return F.col("committed_at").alias(c)
         if kind == "pro" and c == "o":
@@ -109,8 +112,8 @@ def _shape(rows: DataFrame, kind: str, rank: int) -> DataFrame:
 def _keyed(rows: DataFrame, spec: ReadSpec, names: DataFrame) -> DataFrame:
     """Filters on subject and predicate; they pass below the ranking window, whose key they are."""
     if isinstance(spec.s, str):
-        known = names.filter((F.col("canonical_name") == spec.s) | F.array_contains("aliases", spec.s)).select(F.col("symbol_id").alias("s"))
-        rows = rows.join(known, "s", "left_semi")
+        known = names.filter((F.col("canonical_name") == spec.s) | F.array_contains("aliases", spec.s)).select(F.col("symbol_id").alias("s_ref"))
+        rows = rows.join(known, "s_ref", "left_semi")
     elif spec.s is not None:
         rows = rows.filter(F.col("s") == spec.s)
     return rows if spec.p is None else rows.filter(F.col("p") == spec.p)
@@ -139,36 +142,50 @@ def candidates(store: Store, spec: ReadSpec) -> DataFrame:
     names = state.symbol_table(store.symbol_events)
     now = state.watermark(store.sem, store.inf, store.pro)
     as_of = F.lit(spec.as_of) if spec.as_of is not None else now.scalar()
+    histories = [("sem", 0, store.sem), ("inf", 2, store.inf)]
     parts = []
-    for kind, rank, rows in (("sem", 0, store.sem), ("inf", 2, store.inf)):
+    for kind, rank, rows in histories:
         if spec.kind in (None, kind):
             history = supersession.semantic_history(_keyed(rows, spec, names))
             parts.append(_shape(resolve.resolve(history, as_of, spec.as_committed, spec.retro_edges), kind, rank))
     if spec.kind in (None, "pro") and spec.s is None and spec.p is None:
-        parts.append(_shape(resolve.resolve_procedural(supersession.procedural_history(store.pro), spec.as_committed), "pro", 1))
+        parts.append(_shape(resolve.resolve_procedural(supersession.procedural_history(store.pro), as_of, spec.as_committed), "pro", 1))
     if spec.kind == "epi" or not parts:
-        return _shape(store.sem.limit(0), "epi", 3)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    if spec.include_projected and spec.kind in (None, "sem"):
+        return _shape(store.sem.limit(0), "epi", 4)
+    out = _union(parts)
+    if spec.include_projected:
         # Projected rows bypass the resolver; those that stand anyway aren't repeated.
-        more = _shape(_keyed(store.sem.filter("projected"), spec, names), "sem", 3)
-        out = out.unionByName(more.join(out.select("memory_id"), "memory_id", "left_anti").select(*_COLUMNS))
+        more = [_shape(_keyed(rows.filter("projected"), spec, names), kind, 3) for kind, _, rows in histories if spec.kind in (None, kind)]
+        if more:
+            out = out.unionByName(_union(more).join(out.select("memory_id"), "memory_id", "left_anti").select(*_COLUMNS))
     if spec.o is not None:
         out = out.filter(F.col("o").eqNullSafe(F.lit(spec.o)))
     return _episode(out, spec, store.episodes)
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def in_order(records: DataFrame) -> DataFrame:
+    """Records in result order: by commit, then kind, then log position."""
+    return records.orderBy("committed_at", "kind_rank", "log_pos")
+
+
 def execute(store: Store, spec: ReadSpec) -> ReadResult:
+    """A read. With a limit its records are the first in result order; a whole result is left unsorted, see ``in_order``."""
     spec = spec.checked()
     wm = state.watermark(store.sem, store.inf, store.pro)
-    rows = state.mark(candidates(store, spec), state.retired_symbols(store.symbol_events), "s", "retired")
-    rows = state.mark(rows, state.pinned(store.flag_events), "memory_id", "pinned")
-    rows = state.mark(rows, state.authoritative(store.flag_events), "memory_id", "authoritative")
+    rows = candidates(store, spec)
+    known = state.record_states(store.flag_events, state.refers_to(rows, state.retired_symbols(store.symbol_events)))
+    rows = rows.join(known, "memory_id", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("pinned", "authoritative", "retired")})
     now = wm.scalar()
-    life = F.when(F.col("kind") == "sem", decay.half_life_ms("sem", F.col("source"))).otherwise(F.lit(0))
+    life = F.when(F.col("kind") == "sem", decay.half_life_ms("sem", F.col("source"), spec.half_life_days)).otherwise(F.lit(0))
     factor = decay.decay_factor(F.greatest(F.lit(0), now - F.col("valid_at")), life)
+    # Procedural rows don't decay; inferential ones keep what they were stored with.
     exempt = F.col("pinned") | F.col("authoritative") | (F.col("kind") != "sem")
     rows = rows.withColumn("effective", decay.effective_confidence(F.coalesce("confidence", F.lit(decay.FULL)), factor, exempt))
     # A row has one reason: the retired test comes first.
@@ -181,11 +198,10 @@ def execute(store: Store, spec: ReadSpec) -> ReadResult:
     kept = rows.filter("filter_reason is null")
     flags = state.read_flags(kept, spec.threshold_units, spec.limit, spec.explain_filtered)
     out = kept.withColumn("framing", state.framing(spec.as_of, now)) if spec.show_framing else kept
-    order = ("committed_at", "kind_rank", "log_pos")
     clocks = wm.select(
         F.coalesce(F.lit(spec.as_of).cast("long"), "wm", F.lit(0)).alias("as_of"), F.coalesce(F.lit(spec.as_committed).cast("long"), "wm", F.lit(0)).alias("as_committed"),
         F.coalesce("wm", F.lit(0)).alias("query_committed_at"),
     )
     filtered = rows.filter("filter_reason is not null")
-    out = out.orderBy(*order)
-    return ReadResult(out if spec.limit is None else out.limit(spec.limit), filtered if spec.explain_filtered else filtered.limit(0), flags, clocks)
+    out = out if spec.limit is None else in_order(out).limit(spec.limit)
+    return ReadResult(out, filtered if spec.explain_filtered else filtered.limit(0), flags, clocks)

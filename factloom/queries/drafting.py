@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..functions import text
 from ..operators import drafts as dr
+from ..operators import runner as rn
 from ..operators import sessions as se
 from ..operators import validation as va
 from ..registry import query
@@ -15,11 +16,10 @@ from ..registry import query
 
 @query(
     "draft_counts",
-    fx.with_tables("SELECT st AS state, count(d.doc_id) AS n FROM (SELECT unnest(['pending', 'processing', 'accepted', 'skipped', 'failed', 'quarantined']) AS st) x LEFT JOIN drafts d ON d.state = st AND d.doc_id%6 < 5 GROUP BY st", "drafts"),
+    fx.with_tables("SELECT st AS state, count(d.doc_id) AS n FROM (SELECT unnest(['pending', 'processing', 'accepted', 'skipped', 'failed', 'quarantined']) AS st) x LEFT JOIN drafts d ON d.state = st GROUP BY st", "drafts"),
 )
 def draft_counts(spark, sf):
-    """The last state has no draft here, and is reported as 0."""
-    return dr.counts_by_state(fx.drafts(spark, sf).filter("doc_id % 6 < 5"))
+    return dr.counts_by_state(fx.drafts(spark, sf))
 
 
 @query("oldest_pending", fx.with_tables("SELECT greatest(0, 90000000 - min(submitted_at)) AS age_ms FROM drafts WHERE state = 'pending'", "drafts"))
@@ -45,8 +45,8 @@ def draft_submit(spark, sf):
     return dr.submit(new, new.filter("doc_id % 12 = 0 and state = 'pending'")).select("id")
 
 
-_CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw_text, '\x1b\[[^@-~]*[@-~]?', '', 'g'), '(?s)\x1b\][^\x07\x1b]*(?:\x07|\x1b\\|$)?', '', 'g'), '(?s)\x1b.?', '', 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}]', '', 'g')"
-_LINE = f"trim(regexp_replace({_CLEAN}, '\\s+', ' ', 'g'))"
+_CLEAN = r"regexp_replace(raw_text, '(?s)\x1b\[[^@-~]*[@-~]?|\x1b\].*?(?:\x07|\x1b\\|\z)|\x1b.?|[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}]', '', 'g')"
+_LINE = f"trim(regexp_replace({_CLEAN}, '[\\t-\\r\\x{{85}}\\p{{Z}}]+', ' ', 'g'))"
 
 
 @query("draft_preview", fx.with_tables(f"SELECT doc_id, CASE WHEN length(line) > 80 THEN substr(line, 1, 77) || '...' ELSE line END AS preview FROM (SELECT doc_id, {_LINE} AS line FROM drafts)", "drafts"))
@@ -54,13 +54,13 @@ def draft_preview(spark, sf):
     return fx.drafts(spark, sf).select("doc_id", text.preview(F.col("raw_text")).alias("preview"))
 
 
-_DIRTY = "SELECT doc_id, chr(27) || '[31m' || substr(raw_text, 1, 60) || chr(27) || ']0;title' || chr(7) || chr(1) || 'x' || chr(9) || chr(27) || 'Zy' AS raw_text FROM drafts"
+_DIRTY = "SELECT doc_id, chr(27) || '[31m' || raw_text || chr(27) || ']0;title' || chr(27) || 'x' || chr(7) || chr(1) || 'x' || chr(9) || chr(27) || 'Zy' || chr(27) || ']open' || chr(10) AS raw_text FROM drafts"
 
 
 @query("terminal_sanitise", fx.with_tables(f"SELECT doc_id, {_CLEAN} AS clean FROM dirty", "drafts", dirty=_DIRTY))
 def terminal_sanitise(spark, sf):
     esc = F.lit("\x1b")
-    dirty = F.concat(esc, F.lit("[31m"), F.substring("raw_text", 1, 60), esc, F.lit("]0;title\x07\x01x\t"), esc, F.lit("Zy"))
+    dirty = F.concat(esc, F.lit("[31m"), F.col("raw_text"), esc, F.lit("]0;title"), esc, F.lit("x\x07\x01x\t"), esc, F.lit("Zy"), esc, F.lit("]open\n"))
     return fx.drafts(spark, sf).select("doc_id", text.terminal_safe(dirty).alias("clean"))
 
 
@@ -89,34 +89,71 @@ def raw_archive_facts(spark, sf):
     return dr.raw_archive(dr.with_ids(fx.drafts(spark, sf)), F.lit(30_000_000))
 
 
-_SPLIT_STORE = "memory_id%3 <> 0"
+# Candidates for the store: each stored row again, changed in nothing, in one field, or in its valid time by 0.5 or 1.5 seconds.
+_CHANGES = {
+    "sem": (("s", "s + 1"), ("p", "concat(p, '_')"), ("o", "o + 1"), ("source", "concat(source, '_')"), ("confidence", "confidence + 1"), ("projected", "NOT projected")),
+    "inf": (("s", "s + 1"), ("p", "concat(p, '_')"), ("o", "o + 1"), ("method", "concat(method, '_')"), ("confidence", "confidence + 1"), ("projected", "NOT projected")),
+    "pro": (("rule_id", "rule_id + 1000000"), ("trigger", "concat(\"trigger\", '_')"), ("action", "action + 1"), ("scope", "concat(scope, '_')"), ("source", "concat(source, '_')"), ("confidence", "confidence + 1"), ("precondition", "'x'")),
+    "epi": (("event_id", "event_id + 1000000"), ("kind", "concat(kind, '_')"), ("location", "'there'"), ("at_time", "at_time + 1"), ("observed_at", "observed_at + 1"), ("source", "concat(source, '_')"), ("confidence", "confidence + 1")),
+}
+_MORE = {"sem": "", "inf": "", "pro": ", CASE WHEN log_pos%2 = 0 THEN 'if' END AS precondition", "epi": ", CASE WHEN log_pos%2 = 0 THEN 'here' END AS location"}
+_LISTS = {"inf": "derived_from", "epi": "participants"}
 
 
-@query(
-    "dedup_exact",
-    fx.with_tables(f"SELECT c.memory_id, EXISTS (SELECT 1 FROM sem_coarse t WHERE t.s = c.s AND t.p = c.p AND t.valid_at = c.valid_at AND t.{_SPLIT_STORE}) AS duplicate FROM sem_coarse c WHERE c.memory_id%3 = 0", "sem_coarse"),
-)
-def dedup_exact(spark, sf):
-    """A third of the rows are candidates against the store of the others."""
-    rows = fx.sem_coarse(spark, sf)
-    return va.duplicates(rows.filter("memory_id % 3 = 0"), rows.filter("memory_id % 3 <> 0"), ("s", "p"))
+def _candidates_sql(kind: str) -> str:
+    n = len(_CHANGES[kind]) + 4
+    replaced = [f'CASE WHEN log_pos%{n} = {k} THEN {e} ELSE "{c}" END AS "{c}"' for k, (c, e) in enumerate(_CHANGES[kind])]
+    if kind in va.DATED:
+        replaced.append(f"CASE log_pos%{n} WHEN {n - 2} THEN valid_at+500 WHEN {n - 3} THEN valid_at+1500 ELSE valid_at END AS valid_at")
+    if kind in _LISTS:
+        replaced.append(f"CASE WHEN log_pos%{n} = {n - 4} THEN list_append({_LISTS[kind]}, -1) ELSE {_LISTS[kind]} END AS {_LISTS[kind]}")
+    return f"SELECT * REPLACE ({', '.join(replaced)}) FROM (SELECT *{_MORE[kind]} FROM {kind})"
 
 
-@query(
-    "dedup_window",
-    fx.with_tables(f"SELECT c.memory_id, EXISTS (SELECT 1 FROM sem t WHERE t.s = c.s AND t.p = c.p AND abs(t.valid_at - c.valid_at) <= 86400000 AND t.{_SPLIT_STORE}) AS duplicate FROM sem c WHERE c.memory_id%3 = 0", "sem"),
-)
-def dedup_window(spark, sf):
-    rows = fx.sem(spark, sf)
-    return va.duplicates(rows.filter("memory_id % 3 = 0"), rows.filter("memory_id % 3 <> 0"), ("s", "p"), 86_400_000)
+def _stored(spark, sf, kind):
+    rows = getattr(fx, kind)(spark, sf)
+    more = {"pro": ("precondition", "if"), "epi": ("location", "here")}.get(kind)
+    return rows if more is None else rows.withColumn(more[0], F.when(F.col("log_pos") % 2 == 0, more[1]))
+
+
+def _candidates(spark, sf, kind):
+    rows, turn = _stored(spark, sf, kind), F.col("log_pos") % (len(_CHANGES[kind]) + 4)
+    n = len(_CHANGES[kind]) + 4
+    changed = {c: F.when(turn == k, F.expr(e.replace('"', "`"))).otherwise(F.col(c)) for k, (c, e) in enumerate(_CHANGES[kind])}
+    if kind in va.DATED:
+        changed["valid_at"] = F.when(turn == n - 2, F.col("valid_at") + 500).when(turn == n - 3, F.col("valid_at") + 1500).otherwise(F.col("valid_at"))
+    if kind in _LISTS:
+        changed[_LISTS[kind]] = F.when(turn == n - 4, F.array_append(_LISTS[kind], F.lit(-1).cast("long"))).otherwise(F.col(_LISTS[kind]))
+    return rows.withColumns(changed)
+
+
+def _duplicate_sql(kind: str, window: int) -> str:
+    equal = " AND ".join(f't."{c}" IS NOT DISTINCT FROM c."{c}"' for c in va.DUPLICATE_FIELDS[kind])
+    dated = f" AND abs(t.valid_at - c.valid_at) <= {window}" if kind in va.DATED else ""
+    return f"SELECT c.memory_id, EXISTS (SELECT 1 FROM st t WHERE {equal}{dated}) AS duplicate FROM ca c"
+
+
+def _dedup(name: str, kind: str, window: int = 0):
+    tables = dict(st=f"SELECT *{_MORE[kind]} FROM {kind}", ca=_candidates_sql(kind))
+    run = lambda spark, sf: va.duplicates(_candidates(spark, sf, kind), _stored(spark, sf, kind), kind, window)
+    query(name, fx.with_tables(_duplicate_sql(kind, window), kind, **tables))(run)
+    return run, tables
+
+
+for _kind in va.DUPLICATE_FIELDS:
+    _dedup(f"dedup_{_kind}", _kind)
+_dedup_window, _DEDUP = _dedup("dedup_window", "sem", 1000)
+_dedup("dedup_window_inf", "inf", 1000)
 
 
 @query(
     "batch_dedup_counts",
-    fx.with_tables(f"SELECT count(*) FILTER (NOT dup) AS unique_rows, count(*) FILTER (dup) AS duplicate_rows FROM (SELECT EXISTS (SELECT 1 FROM sem t WHERE t.s = c.s AND t.p = c.p AND abs(t.valid_at - c.valid_at) <= 86400000 AND t.{_SPLIT_STORE}) AS dup FROM sem c WHERE c.memory_id%3 = 0)", "sem"),
+    fx.with_tables(f"SELECT memory_id//100 AS batch, count(*) FILTER (NOT duplicate) AS unique_rows, count(*) FILTER (duplicate) AS duplicate_rows FROM ({_duplicate_sql('sem', 1000)}) GROUP BY ALL", "sem", **_DEDUP),
 )
 def batch_dedup_counts(spark, sf):
-    return dedup_window(spark, sf).agg(F.count_if(~F.col("duplicate")).alias("unique_rows"), F.count_if("duplicate").alias("duplicate_rows"))
+    """Unique rows and duplicates of each batch of a hundred candidates."""
+    found = _dedup_window(spark, sf).withColumn("batch", F.expr("memory_id div 100"))
+    return found.groupBy("batch").agg(F.count_if(~F.col("duplicate")).alias("unique_rows"), F.count_if("duplicate").alias("duplicate_rows"))
 
 
 _MOVES = "SELECT user_id AS id, event_id AS position, (['pending', 'processing', 'accepted', 'skipped', 'failed', 'quarantined'])[1+(event_id*7)%6] AS state FROM events"
@@ -141,13 +178,44 @@ def stale_claims(spark, sf):
     return dr.recover_stale(claims, F.lit(30_000_000)).select("doc_id", "state")
 
 
+# A run at a time at which some claims are stale; every 23rd pending draft is claimed by another runner meanwhile.
+_NOW = 30_000_000
+_RUN = f"""SELECT *, recovered OR state = 'pending' AS seen FROM (SELECT doc_id, surface, state, state = 'processing' AND submitted_at+5 <= {_NOW}-900000 AS recovered,
+    CASE WHEN doc_id%7 < 5 THEN (['accepted', 'skipped', 'failed', 'quarantined', 'deferred'])[1+doc_id%7] END AS made, doc_id%23 = 0 AS gone FROM drafts)"""
+_RAN = """SELECT *, seen AND NOT gone AS claimed, seen AND gone AS missed, CASE WHEN seen AND NOT gone THEN coalesce(made, 'deferred') END AS decision FROM run"""
+
+
+def _run_once(spark, sf):
+    d = fx.drafts(spark, sf).select(F.col("doc_id").alias("id"), "surface", "state", F.when(F.col("state") == "processing", F.col("submitted_at") + 5).alias("claimed_at"))
+    turn = F.col("id") % 7
+    decisions = d.filter(turn < 5).select("id", fx.pick(tuple(rn.TARGETS), turn).alias("decision"))
+    return rn.run_once(d, decisions, _NOW, d.filter("id % 23 = 0").select("id"))
+
+
+@query(
+    "run_once",
+    fx.with_tables(
+        "SELECT doc_id AS id, state, recovered, claimed, missed, decision, CASE WHEN missed THEN 'processing' WHEN decision = 'deferred' THEN 'pending' WHEN decision IS NOT NULL THEN decision ELSE state END AS final_state FROM ran",
+        "drafts", run=_RUN, ran=_RAN,
+    ),
+)
+def run_once(spark, sf):
+    """What one run makes of each draft."""
+    return _run_once(spark, sf).select("id", "state", "recovered", "claimed", "missed", "decision", "final_state")
+
+
 @query(
     "run_summary",
-    fx.with_tables("SELECT surface, count(*) AS pending_seen, count(*) FILTER (state = 'accepted') AS accepted, count(*) FILTER (state = 'skipped') AS skipped, count(*) FILTER (state = 'failed') AS failed, count(*) FILTER (state = 'quarantined') AS quarantined FROM drafts GROUP BY surface", "drafts"),
-)
+    fx.with_tables(
+        "SELECT surface, count(*) FILTER (recovered) AS recovered_processing, count(*) FILTER (seen) AS pending_seen, count(*) FILTER (claimed) AS claimed, "
+        + ", ".join(f"count(*) FILTER (decision = '{d}') AS {d}" for d in ("accepted", "skipped", "failed", "quarantined", "deferred"))
+        + ", count(*) FILTER (missed) AS claim_misses FROM ran GROUP BY surface",
+        "drafts", run=_RUN, ran=_RAN,
+    ),
+)
 def run_summary(spark, sf):
-    d = fx.drafts(spark, sf)
-    return d.groupBy("surface").agg(F.count("*").alias("pending_seen"), *(F.count_if(F.col("state") == s).alias(s) for s in ("accepted", "skipped", "failed", "quarantined")))
+    """The nine counters of a run, by surface."""
+    return rn.summary(_run_once(spark, sf), "surface")
 
 
 @query(
@@ -185,7 +253,7 @@ _SESSIONS = """SELECT 's' || conv_id AS id, 'owner/repo' || (conv_id%4) AS repos
     CASE WHEN conv_id%3 > 0 THEN conv_id*1000000 + max(turn)*60000 END AS updated_at FROM conversations GROUP BY conv_id"""
 _TURNS = """SELECT 's' || conv_id AS session_id, turn AS turn_index, text AS user_message, reply AS assistant_response, conv_id*1000000 + turn*60000 AS "timestamp"
     FROM (SELECT *, CASE WHEN lead(role) OVER w = 'assistant' THEN lead(text) OVER w END AS reply FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user'"""
-_FILES = """SELECT 's' || conv_id AS session_id, 'src/part' || (conv_id%7) || '/f' || turn || '.py' AS file_path, 'edit' AS tool_name, turn AS turn_index, conv_id*1000000 + turn*60000 + 7 AS first_seen_at
+_FILES = """SELECT 's' || conv_id AS session_id, 'src/part' || (conv_id%7) || '/f' || turn || '.py' AS file_path, CASE WHEN turn%8 = 0 THEN 'edit' END AS tool_name, turn AS turn_index, conv_id*1000000 + turn*60000 + 7 AS first_seen_at
     FROM conversations WHERE role = 'user' AND turn%4 = 0"""
 
 
@@ -203,7 +271,7 @@ def _sessions(spark, sf):
     )
     files = c.filter("role = 'user' and turn % 4 = 0").select(
         sid.alias("session_id"), F.concat(F.lit("src/part"), (i % 7).cast("string"), F.lit("/f"), t.cast("string"), F.lit(".py")).alias("file_path"),
-        F.lit("edit").alias("tool_name"), t.alias("turn_index"), (i * 1_000_000 + t * 60_000 + 7).alias("first_seen_at"),
+        F.when(t % 8 == 0, "edit").alias("tool_name"), t.alias("turn_index"), (i * 1_000_000 + t * 60_000 + 7).alias("first_seen_at"),
     )
     return sessions, turns, files
 
@@ -233,9 +301,9 @@ def recent_files(spark, sf):
 @query(
     "session_search",
     fx.with_tables(
-        """SELECT * FROM (SELECT 0 AS rank, session_id, turn_index, "timestamp" AS "at", substr(trim(coalesce(user_message, '') || chr(10) || coalesce(assistant_response, '')), 1, 240) AS excerpt
+        """SELECT * FROM (SELECT 0 AS rank, session_id, turn_index, "timestamp" AS "at", substr(trim(coalesce(user_message, '') || chr(10) || coalesce(assistant_response, '')), 1, 400) AS excerpt
             FROM turns JOIN sessions ON id = session_id WHERE contains(lower(coalesce(user_message, '')), 'part') OR contains(lower(coalesce(assistant_response, '')), 'part') OR contains(lower(summary), 'part')
-            UNION ALL SELECT 1, session_id, turn_index, first_seen_at, file_path FROM files WHERE contains(lower(file_path), 'part'))
+            UNION ALL SELECT 1, session_id, turn_index, first_seen_at, file_path || coalesce(' (' || tool_name || ')', '') FROM files WHERE contains(lower(file_path), 'part'))
         ORDER BY rank, "at" DESC, session_id, turn_index, excerpt LIMIT 100""",
         **_S,
     ),
@@ -274,9 +342,22 @@ def checkpoint_drafts(spark, sf):
     return se.checkpoint_drafts(sessions, points).select("session_id", "checkpoint_number", "raw_text", "project", "provenance_uri")
 
 
-@query("workspace_ids", "SELECT page_id, sha256(regexp_replace(regexp_replace(lower(trim(url || '.git')), '\\.git$', ''), '/$', '')) AS id FROM pages")
+_URL = "chr(9) || ' ' || CASE WHEN page_id%3 = 0 THEN upper(url) ELSE url END || '/É.git' || chr(10)"
+
+
+@query("workspace_ids", f"SELECT page_id, sha256(regexp_replace(regexp_replace(translate(regexp_replace({_URL}, '^\\s+|\\s+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\\.git$', ''), '/$', '')) AS id FROM pages")
 def workspace_ids(spark, sf):
-    return fx.table(spark, sf, "pages").select("page_id", text.workspace_id(F.concat("url", F.lit(".git"))).alias("id"))
+    url = F.concat(F.lit("\t "), F.when(F.col("page_id") % 3 == 0, F.upper("url")).otherwise(F.col("url")), F.lit("/É.git\n"))
+    return fx.table(spark, sf, "pages").select("page_id", text.workspace_id(url).alias("id"))
+
+
+@query("origin_urls", "SELECT page_id, CASE WHEN page_id%4 < 3 THEN url END AS origin FROM pages")
+def origin_urls(spark, sf):
+    """The remote of a git configuration, whose section is written in three ways, or is another remote's."""
+    i = F.col("page_id")
+    head = fx.pick(('[remote "origin"]', "[ remote 'origin' ]", "[remote origin]", '[remote "fork"]'), i % 4)
+    config = F.concat(F.lit("[core]\n\tbare = false\n\turl = no\n; url = no\n"), head, F.lit("\n# url = no\n\tfetch = +refs\n\turl\t=  "), F.col("url"), F.lit(" \r\n\turl = later\n[branch]\n\turl = no\n"))
+    return fx.table(spark, sf, "pages").select("page_id", text.origin_url(config).alias("origin"))
 
 
 @query(

@@ -109,17 +109,17 @@ def current_reference(spark, sf):
 CURRENT_ROWS = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s, p ORDER BY committed_at DESC, log_pos) AS turn FROM ({_rows_sql(f'({CURRENT})', None, rs.SPEC)})) WHERE turn = 1"
 
 
-_PRO = """SELECT p.*, least(
+PRO = """SELECT p.*, least(
     (SELECT min(struct_pack(c := q.committed_at, l := q.log_pos, m := q.memory_id)) FROM pro q WHERE q.rule_id = p.rule_id AND q.log_pos > p.log_pos),
     (SELECT min(struct_pack(c := q.committed_at, l := q.log_pos, m := q.memory_id)) FROM pro q WHERE q."trigger" = p."trigger" AND q.scope = p.scope AND q.log_pos > p.log_pos)) AS next FROM pro p"""
 
 
-@query("pro_supersession", fx.with_tables("SELECT memory_id, next.m AS closed_by, next.c AS close_committed FROM h", "pro", h=_PRO))
+@query("pro_supersession", fx.with_tables("SELECT memory_id, next.m AS closed_by, next.c AS close_committed FROM h", "pro", h=PRO))
 def pro_supersession(spark, sf):
     return sp.procedural_history(fx.pro(spark, sf)).select("memory_id", "closed_by", "close_committed")
 
 
-@query("pro_current", fx.with_tables('SELECT memory_id, rule_id, "trigger", scope, action FROM h WHERE next IS NULL', "pro", h=_PRO))
+@query("pro_current", fx.with_tables('SELECT memory_id, rule_id, "trigger", scope, action FROM h WHERE next IS NULL', "pro", h=PRO))
 def pro_current(spark, sf):
     return rs.resolve_procedural(sp.procedural_history(fx.pro(spark, sf))).select("memory_id", "rule_id", "trigger", "scope", "action")
 
@@ -129,10 +129,10 @@ _PRO_TC = 1_710_000_010_000
 
 @query(
     "pro_as_committed",
-    fx.with_tables(f'SELECT memory_id, rule_id, "trigger", scope, action FROM h WHERE committed_at <= {_PRO_TC} AND (next IS NULL OR next.c > {_PRO_TC})', "pro", h=_PRO),
+    fx.with_tables(f'SELECT memory_id, rule_id, "trigger", scope, action FROM h WHERE committed_at <= {_PRO_TC} AND (next IS NULL OR next.c > {_PRO_TC})', "pro", h=PRO),
 )
 def pro_as_committed(spark, sf):
-    return rs.resolve_procedural(sp.procedural_history(fx.pro(spark, sf)), _PRO_TC).select("memory_id", "rule_id", "trigger", "scope", "action")
+    return rs.resolve_procedural(sp.procedural_history(fx.pro(spark, sf)), None, _PRO_TC).select("memory_id", "rule_id", "trigger", "scope", "action")
 
 
 @query(

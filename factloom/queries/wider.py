@@ -150,18 +150,6 @@ def restore_drill(spark, sf):
     return out.withColumn("passed", F.col("sanity") & F.col("no_dangling") & F.col("tail_ok"))
 
 
-@query(
-    "completeness_audit",
-    "SELECT c_custkey, CAST((c_custkey%2 = 0)::INT + (c_custkey%3 = 0)::INT + (c_custkey%5 = 0)::INT AS BIGINT) AS missing, NOT (c_custkey%2 = 0 OR c_custkey%3 = 0 OR c_custkey%5 = 0) AS complete FROM customer",
-)
-def completeness_audit(spark, sf):
-    """Missing fields of a score row, counted by nulls."""
-    k = F.col("c_custkey")
-    fields = [F.when(k % n != 0, k) for n in (2, 3, 5)]
-    missing = sum((f.isNull().cast("long") for f in fields), F.lit(0).cast("long"))
-    return fx.table(spark, sf, "customer").select("c_custkey", missing.alias("missing"), (missing == 0).alias("complete"))
-
-
 # Extension: confidence of inferred rows from their parents' decayed confidences.
 _HALVES = "SELECT i, CAST(round(pow(2.0, -i/256.0)*65535) AS BIGINT) AS v FROM range(256) t(i)"
 _LIVES = " ".join(f"WHEN source = '{s}' THEN {(d or 0) * decay.DAY_MS}" for (k, s), d in decay.HALF_LIFE_DAYS.items() if k == "sem")

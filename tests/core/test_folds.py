@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import graph, resolve, supersession, validation
+from factloom.operators import graph, resolve, sequence, supersession, validation
 
 
 def random_log(seed, n=120, keys=6, days=12):
@@ -40,11 +40,14 @@ def fold(log):
     return kinds, edges
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_semantic_history(spark, seed):
+@pytest.mark.parametrize("hot", [None, 3, 30])
+@pytest.mark.parametrize("seed", range(3))
+def test_semantic_history(spark, many_ranges, seed, hot):
     log = random_log(seed)
     kinds, edges = fold(log)
-    history = supersession.semantic_history(spark.createDataFrame(log, SEM))
+    history = supersession.semantic_history(spark.createDataFrame(log, SEM), hot)
+    links = {to: f for f, to, _, v in edges if kinds[f][0] == "forward"}
+    assert {r.memory_id: r.closed_by for r in history.collect()} == {m: links.get(m) for m in kinds}
     assert {r.memory_id: (r.kind, r.head, r.head_id) for r in history.collect()} == kinds
     got = {(r.from_id, r.to_id, r.at, r.from_valid_at) for r in supersession.supersession_edges(history).collect()}
     assert got == set(edges)
@@ -73,8 +76,9 @@ def test_bitemporal_resolution(spark, seed, mode):
         assert got == best, (t, tc)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_procedural_history(spark, seed):
+@pytest.mark.parametrize("hot", [None, 2, 10])
+@pytest.mark.parametrize("seed", range(2))
+def test_procedural_history(spark, many_ranges, seed, hot):
     draw = random.Random(seed)
     log = [(i, draw.randrange(5), draw.randrange(3), draw.randrange(3), i * 2, i) for i in range(80)]
     closed, live = {}, {}
@@ -84,7 +88,7 @@ def test_procedural_history(spark, seed):
             del live[other]
         live[m] = log[m]
     df = spark.createDataFrame(log, "memory_id long, rule_id long, trigger long, scope long, committed_at long, log_pos long")
-    history = supersession.procedural_history(df)
+    history = supersession.procedural_history(df, hot)
     assert {r.memory_id: r.closed_by for r in history.collect()} == {m: closed.get(m) for m, *_ in log}
     assert {r.memory_id for r in resolve.resolve_procedural(history).collect()} == set(live)
 
@@ -124,7 +128,19 @@ def test_suspect_edges_find_cycles(spark):
 
 
 def test_window_duplicates_on_bucket_borders(spark):
-    store = spark.createDataFrame([(1, 1000), (1, 5999)], "k long, valid_at long").withColumn("memory_id", F.lit(0))
-    own = spark.createDataFrame([(i, 1, v) for i, v in enumerate((0, 1999, 2000, 2001, 4998, 4999, 7000))], "memory_id long, k long, valid_at long")
-    got = {r.memory_id for r in validation.duplicates(own, store, ("k",), 1000).collect() if r.duplicate}
-    assert got == {0, 1, 2, 5} and validation.duplicates(own, store, ("k",)).filter("duplicate").count() == 0
+    fields = {"s": 1, "p": "p", "o": 1.0, "source": "document", "confidence": 5, "projected": False}
+    full = lambda df: df.withColumns({c: F.lit(v) for c, v in fields.items()})
+    store = full(spark.createDataFrame([(0, 1000), (0, 5999)], "memory_id long, valid_at long"))
+    own = full(spark.createDataFrame(list(enumerate((0, 1999, 2000, 2001, 4998, 4999, 7000))), "memory_id long, valid_at long"))
+    got = {r.memory_id for r in validation.duplicates(own, store, "sem", 1000).collect() if r.duplicate}
+    assert got == {0, 1, 2, 5} and validation.duplicates(own, store, "sem").filter("duplicate").count() == 0
+    other = own.withColumn("o", F.lit(2.0))
+    assert validation.duplicates(other, store, "sem", 1000).filter("duplicate").count() == 0
+    assert validation.duplicates(store, store.withColumn("o", F.lit(None).cast("double")), "sem").filter("duplicate").count() == 0
+
+
+def test_numbers_over_many_ranges(spark, many_ranges):
+    draw = random.Random(4)
+    rows = [(i, draw.randrange(50), draw.randrange(10**6)) for i in range(3000)]
+    got = sequence.numbered(spark.createDataFrame(rows, "i long, a long, b long"), "n", "a", "b").collect()
+    assert [r.i for r in sorted(got, key=lambda r: r.n)] == [i for i, *_ in sorted(rows, key=lambda r: r[1:])] and sorted(r.n for r in got) == list(range(3000))
