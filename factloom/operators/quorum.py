@@ -61,3 +61,21 @@ def evidence(outputs: DataFrame) -> DataFrame:
     uri = F.concat(F.lit("quorum-output://"), F.concat_ws("/", F.col("episode_id").cast("string"), "round", "output_id"))
     listed = outputs.groupBy("episode_id").agg(F.sort_array(F.collect_list(F.struct("participant_id", "output_id", uri.alias("uri")))).alias("x"))
     return listed.select("episode_id", F.array_join(F.transform("x", lambda e: e["uri"]), " ").alias("uris"))
+
+
+def audit_synthesis(proposed: DataFrame, votes: DataFrame, participants: DataFrame, schema_version: int = 1) -> DataFrame:
+    """``proposed`` (with wanted_episode_id) and the first rule that a proposed synthesis breaks."""
+    bad_votes = audit_votes(votes, participants).filter("problem is not null").groupBy("episode_id").agg(F.lit(True).alias("votes_bad"))
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    out = F.when(F.col("schema_version") != schema_version, "schema_version").when(blank("episode_id"), "episode_id").when(F.col("episode_id") != F.col("wanted_episode_id"), "other_episode")
+    out = out.when(blank("recommendation"), "recommendation").when(F.isnan("confidence") | (F.col("confidence") < 0) | (F.col("confidence") > 1), "confidence")
+    for c in ("supporting_points", "dissenting_points", "unresolved_questions", "evidence_used", "proposed_memory_drafts"):
+        out = out.when(F.exists(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.trim(x) == ""), c)
+    joined = proposed.join(bad_votes.withColumnRenamed("episode_id", "wanted_episode_id"), "wanted_episode_id", "left")
+    return joined.withColumn("reject_reason", out.when(F.col("votes_bad"), "participant_votes")).drop("votes_bad")
+
+
+def in_round_order(outputs: DataFrame) -> DataFrame:
+    """``outputs`` with ``place``: within the episode by round, participant and output id, from 1."""
+    turn = F.array_position(F.array(*(F.lit(r) for r in ROUNDS)), F.col("round"))
+    return outputs.withColumn("place", F.row_number().over(Window.partitionBy("episode_id").orderBy(turn, "participant_id", "output_id")).cast("long"))

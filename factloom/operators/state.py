@@ -124,3 +124,28 @@ def read_flags(kept: DataFrame, threshold: int, limit: int | None = None, explai
 
 def flag_names(flags: Column) -> Column:
     return F.array_compact(F.array(*(F.when(flags.bitwiseAND(F.lit(b)) != 0, name) for b, name in FLAG_NAMES.items())))
+
+
+# Clamps of pages.
+LIST_MOST, VIEW_MOST, VIEW_DEFAULT = 1000, 64, 32
+
+
+def memory_list(tables: dict[str, DataFrame], kind: str | None = None, limit: int = LIST_MOST) -> DataFrame:
+    """A page of memories of one kind or of all, first committed first; its size is clamped to 1 to 1,000."""
+    parts = [t.select(F.lit(k).alias("kind"), "memory_id", "committed_at") for k, t in tables.items() if kind in (None, k)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.orderBy("committed_at", "kind", "memory_id").limit(max(1, min(limit, LIST_MOST)))
+
+
+def context_view(records: DataFrame, limit: int = VIEW_DEFAULT) -> DataFrame:
+    """The latest of the records of a read, its size clamped to 1 to 64."""
+    return records.orderBy(F.desc("committed_at"), F.desc("memory_id")).limit(max(1, min(limit, VIEW_MOST)))
+
+
+def exactly_one(records: DataFrame) -> DataFrame:
+    """The one record of a read; none gives no row, and more than one is an error when the rows are asked for."""
+    two = records.limit(2)
+    n = two.agg(F.count("*")).scalar()
+    return two.filter(F.when(n > 1, F.raise_error(F.lit("more than one record matches"))).otherwise(F.lit(True)))

@@ -79,15 +79,12 @@ def first_outputs(spark, sf):
     return qo.one_output_each(_outputs(spark, sf))
 
 
-@query(
-    "vote_set_audit",
-    fx.with_tables(
-        """SELECT p.episode_id, p.participant_id, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'repeated' WHEN low < 0 OR high > 1 THEN 'confidence_range' WHEN blank THEN 'blank_rationale' END AS problem
+_VOTE_AUDIT = """SELECT p.episode_id, p.participant_id, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'repeated' WHEN low < 0 OR high > 1 THEN 'confidence_range' WHEN blank THEN 'blank_rationale' END AS problem
         FROM participants p LEFT JOIN (SELECT episode_id, participant_id, count(*) AS n, min(confidence) AS low, max(confidence) AS high, bool_or(trim(rationale) = '') AS blank FROM votes GROUP BY ALL) v USING (episode_id, participant_id)
-        UNION ALL SELECT DISTINCT episode_id, participant_id, 'unknown_participant' FROM votes v WHERE NOT EXISTS (SELECT 1 FROM participants p WHERE p.episode_id = v.episode_id AND p.participant_id = v.participant_id)""",
-        **_Q,
-    ),
-)
+        UNION ALL SELECT DISTINCT episode_id, participant_id, 'unknown_participant' FROM votes v WHERE NOT EXISTS (SELECT 1 FROM participants p WHERE p.episode_id = v.episode_id AND p.participant_id = v.participant_id)"""
+
+
+@query("vote_set_audit", fx.with_tables(_VOTE_AUDIT, **_Q))
 def vote_set_audit(spark, sf):
     return qo.audit_votes(_votes(spark, sf), _participants(spark, sf))
 

@@ -240,10 +240,18 @@ def effective_clocks(spark, sf):
     return execute(store(spark, sf), ReadSpec(as_of=T)).clocks
 
 
-@query("memory_list", fx.with_tables("SELECT memory_id, committed_at FROM sem ORDER BY committed_at, memory_id LIMIT 1000", "sem"))
+_LISTED = " UNION ALL ".join(f"SELECT '{k}' AS kind, memory_id, committed_at FROM {k}" for k in ("sem", "inf", "pro", "epi"))
+
+
+@query("memory_list", fx.with_tables(f"SELECT * FROM ({_LISTED}) ORDER BY committed_at, kind, memory_id LIMIT 1000", "sem", "inf", "pro", "epi"))
 def memory_list(spark, sf):
-    """A page of at most 1,000 memories is the feature."""
-    return fx.sem(spark, sf).select("memory_id", "committed_at").orderBy("committed_at", "memory_id").limit(1000)
+    """A page of at most 1,000 memories of all kinds is the feature."""
+    return state.memory_list({k: getattr(fx, k)(spark, sf) for k in ("sem", "inf", "pro", "epi")}, limit=5000)
+
+
+@query("memory_list_inf", fx.with_tables("SELECT 'inf' AS kind, memory_id, committed_at FROM inf ORDER BY committed_at, memory_id LIMIT 100", "inf"))
+def memory_list_inf(spark, sf):
+    return state.memory_list({k: getattr(fx, k)(spark, sf) for k in ("sem", "inf")}, "inf", 100)
 
 
 @query(

@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..functions import decay, inference
 from ..operators import drafts as dr
-from ..operators import logs, render
+from ..operators import native, render, state
+from ..operators import quorum as qo
+from ..plans.read import ReadSpec, execute
 from ..registry import query
 from ..sources import record_log
+from . import governance
+from .reads import _read_sql, _rows, store
 
 
 @query(
@@ -65,31 +69,35 @@ def render_inf(spark, sf):
     return fx.inf(spark, sf).select("memory_id", render.render_inf(F.concat(F.lit("user_"), F.col("s").cast("string")), F.col("p"), F.col("log_pos").cast("string"), parents, F.col("method"), F.col("confidence"), F.col("valid_at")).alias("lisp"))
 
 
-@query(
-    "native_source_health",
-    fx.with_tables(
-        """SELECT surface, files, CASE WHEN files = 0 THEN 'missing' WHEN readable = 0 THEN 'drifted' ELSE 'supported' END AS status, CASE WHEN files = 0 THEN 'no_files' WHEN readable = 0 THEN 'no_readable_text' END AS reason
-        FROM (SELECT surface, count(*) FILTER (doc_id%9 <> 1) AS files, count(*) FILTER (doc_id%9 NOT IN (1, 2) AND trim(raw_text) <> '') AS readable FROM drafts GROUP BY surface)""",
-        "drafts",
-    ),
-)
+# Each surface of drafts is a source of memory files; some are missing, single files, or of another type.
+_TYPES = ("directory", "directory", "file", "directory", "missing", "file", "unreadable", "directory", "socket")
+_PATHS = ("a", "b", "c.md", "d", "e", "f.bin", "g", "h", "i")
+_SOURCES = "SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{t}', '{p}')" for s, t, p in zip(fx.SURFACES, _TYPES, _PATHS)) + ") t(source, type, path)"
+_FILES = "SELECT surface AS source, doc_id || (['.md', '.txt', '.json', ''])[1+doc_id%4] AS path, raw_text AS text FROM drafts WHERE doc_id%9 NOT IN (1, 3) OR doc_id%9 = 3 AND doc_id%4 > 1"
+_HEALTH = """SELECT source, files, readable, reason, CASE reason WHEN 'source_missing' THEN 'missing' WHEN 'file_supported' THEN 'supported' WHEN 'directory_contains_supported_files' THEN 'supported' WHEN 'directory_empty' THEN 'supported' ELSE 'drifted' END AS status
+    FROM (SELECT s.source, count(f.path) AS files, count(f.path) FILTER (f.path LIKE '%.md' OR f.path LIKE '%.txt') AS readable, CASE WHEN type = 'missing' THEN 'source_missing' WHEN type = 'file' AND s.path LIKE '%.md' THEN 'file_supported' WHEN type = 'file' THEN 'unsupported_file_extension'
+    WHEN type = 'unreadable' THEN 'source_unreadable' WHEN type <> 'directory' THEN 'unsupported_path_type' WHEN count(f.path) FILTER (f.path LIKE '%.md' OR f.path LIKE '%.txt') > 0 THEN 'directory_contains_supported_files'
+    WHEN count(f.path) > 0 THEN 'directory_has_no_supported_files' ELSE 'directory_empty' END AS reason FROM so s LEFT JOIN fi f ON f.source = s.source GROUP BY s.source, s.type, s.path)"""
+_NATIVE = dict(so=_SOURCES, fi=_FILES, he=_HEALTH)
+
+
+def _native(spark, sf):
+    sources = spark.createDataFrame(list(zip(fx.SURFACES, _TYPES, _PATHS)), "source string, type string, path string")
+    d, i = fx.drafts(spark, sf), F.col("doc_id")
+    files = d.filter(~(i % 9).isin(1, 3) | ((i % 9 == 3) & (i % 4 > 1)))
+    return sources, files.select(F.col("surface").alias("source"), F.concat(i.cast("string"), fx.pick((".md", ".txt", ".json", ""), i % 4)).alias("path"), F.col("raw_text").alias("text"))
+
+
+@query("native_source_health", fx.with_tables("SELECT source, files, readable, status, reason FROM he", "drafts", **_NATIVE))
 def native_source_health(spark, sf):
-    """Each source of files: missing, drifted (nothing readable), or supported."""
-    i = F.col("doc_id") % 9
-    n = fx.drafts(spark, sf).groupBy("surface").agg(F.count_if(i != 1).alias("files"), F.count_if(~i.isin(1, 2) & (F.trim("raw_text") != "")).alias("readable"))
-    status = F.when(F.col("files") == 0, "missing").when(F.col("readable") == 0, "drifted").otherwise("supported")
-    reason = F.when(F.col("files") == 0, "no_files").when(F.col("readable") == 0, "no_readable_text")
-    return n.select("surface", "files", status.alias("status"), reason.alias("reason"))
+    """Each source of memory files: missing, drifted or supported, and why."""
+    return native.health(*_native(spark, sf))
 
 
-@query(
-    "native_source_capture",
-    fx.with_tables("SELECT doc_id, surface FROM drafts WHERE surface IN (SELECT surface FROM drafts GROUP BY surface HAVING count(*) FILTER (trim(raw_text) <> '' AND doc_id%9 NOT IN (1, 2)) > 0) AND trim(raw_text) <> ''", "drafts"),
-)
+@query("native_source_capture", fx.with_tables("SELECT source, path FROM fi JOIN he USING (source) WHERE status = 'supported' AND (path LIKE '%.md' OR path LIKE '%.txt') AND regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''", "drafts", **_NATIVE))
 def native_source_capture(spark, sf):
-    """Texts of the supported sources become drafts."""
-    good = native_source_health(spark, sf).filter("status = 'supported'").select("surface")
-    return fx.drafts(spark, sf).join(good, "surface", "left_semi").filter(F.trim("raw_text") != "").select("doc_id", "surface")
+    """Readable files of the supported sources become drafts."""
+    return native.capture(*_native(spark, sf)).select("source", "path")
 
 
 @query("quorum_draft_counts", fx.with_tables("SELECT state, count(*) AS n FROM drafts WHERE provenance_uri LIKE 'quorum://%' GROUP BY state", "drafts"))
@@ -131,23 +139,44 @@ def operator_triage(spark, sf):
     return fx.drafts(spark, sf).select("doc_id", refused.alias("refused"), F.when(refused.isNull(), target).otherwise(F.col("state")).alias("state"))
 
 
-@query("context_view", fx.with_tables("SELECT memory_id, committed_at FROM sem WHERE committed_at <= (SELECT max(committed_at) FROM sem) ORDER BY committed_at DESC, memory_id DESC LIMIT 32", "sem"))
+@query("context_view", _read_sql("SELECT kind, memory_id, committed_at FROM c WHERE NOT retired ORDER BY committed_at DESC, memory_id DESC LIMIT 32", c=_rows(projected=True)))
 def context_view(spark, sf):
-    """The capsule of the 32 latest memories is the feature; a view's size is clamped to 1 to 64."""
-    size = max(1, min(32, 64))
-    return fx.sem(spark, sf).select("memory_id", "committed_at").orderBy(F.desc("committed_at"), F.desc("memory_id")).limit(size)
+    """The capsule of the 32 latest records of the current state, projected ones included, is the feature."""
+    records = execute(store(spark, sf), ReadSpec(include_projected=True, limit=None)).records
+    return state.context_view(records).select("kind", "memory_id", "committed_at")
+
+
+@query("render_one", _read_sql("SELECT kind, memory_id, s, p FROM c WHERE s = 12 AND p = 'click'", c=_rows("sem", rules=False)))
+def render_one(spark, sf):
+    """The one record that a read of a subject and a predicate finds."""
+    records = execute(store(spark, sf), ReadSpec(kind="sem", s=12, p="click", include_retired=True, limit=None)).records.filter("not projected")
+    return state.exactly_one(records).select("kind", "memory_id", "s", "p")
+
+
+_SYNTHESES = """SELECT doc_id//5 AS wanted, doc_id, CASE WHEN doc_id%11 = 0 THEN 2 ELSE 1 END AS schema_version, CASE WHEN doc_id%13 = 0 THEN -1 ELSE doc_id//5 END AS episode_id,
+    CASE WHEN doc_id%7 = 0 THEN '  ' ELSE 'do it' END AS recommendation, CASE WHEN doc_id%17 = 0 THEN 1.5::DOUBLE ELSE 0.5 END AS confidence, doc_id%19 = 0 AS blank_point FROM documents WHERE doc_id%5 = 1"""
 
 
 @query(
-    "restore_drill",
-    "SELECT count(*) > 0 AS sanity, count(*) FILTER (user_id IS NULL) = 0 AS no_dangling, true AS tail_ok, count(*) > 0 AND count(*) FILTER (user_id IS NULL) = 0 AS passed FROM events",
-)
-def restore_drill(spark, sf):
-    """A restored log passes if its tail isn't corrupt, nothing dangles, and a query finds rows."""
-    e = fx.table(spark, sf, "events")
-    tail = logs.tail_status(F.lit(None).cast("string"), F.lit(0)) != "corrupt"
-    out = e.agg((F.count("*") > 0).alias("sanity"), (F.count_if(F.col("user_id").isNull()) == 0).alias("no_dangling")).withColumn("tail_ok", tail)
-    return out.withColumn("passed", F.col("sanity") & F.col("no_dangling") & F.col("tail_ok"))
+    "synthesis_audit",
+    fx.with_tables(
+        """SELECT doc_id, CASE WHEN schema_version <> 1 THEN 'schema_version' WHEN episode_id <> wanted THEN 'other_episode' WHEN trim(recommendation) = '' THEN 'recommendation' WHEN confidence > 1 THEN 'confidence'
+            WHEN blank_point THEN 'dissenting_points' WHEN wanted IN (SELECT episode_id FROM problems) THEN 'participant_votes' END AS reject_reason FROM sy""",
+        sy=_SYNTHESES, **governance._Q, problems=f"SELECT DISTINCT episode_id FROM ({governance._VOTE_AUDIT}) WHERE problem IS NOT NULL",
+    ),
+)
+def synthesis_audit(spark, sf):
+    """Proposed syntheses of episodes, most of them with something wrong."""
+    i = F.col("doc_id")
+    none = F.array().cast("array<string>")
+    proposed = fx.table(spark, sf, "documents").filter("doc_id % 5 = 1").select(
+        i.alias("doc_id"), F.expr("doc_id div 5").alias("wanted_episode_id"), F.when(i % 11 == 0, 2).otherwise(1).alias("schema_version"),
+        F.when(i % 13 == 0, F.lit(-1).cast("long")).otherwise(F.expr("doc_id div 5")).cast("string").alias("episode_id"),
+        F.when(i % 7 == 0, "  ").otherwise("do it").alias("recommendation"), F.when(i % 17 == 0, 1.5).otherwise(0.5).alias("confidence"),
+        F.array(F.lit("one")).alias("supporting_points"), F.when(i % 19 == 0, F.array(F.lit("x"), F.lit(" "))).otherwise(none).alias("dissenting_points"),
+        none.alias("unresolved_questions"), none.alias("evidence_used"), F.lit(None).cast("array<string>").alias("proposed_memory_drafts"),
+    )
+    return qo.audit_synthesis(proposed, governance._votes(spark, sf), governance._participants(spark, sf)).select("doc_id", "reject_reason")
 
 
 # Extension: confidence of inferred rows from their parents' decayed confidences.
@@ -157,20 +186,29 @@ _EFFECTIVE = f"""SELECT memory_id, (confidence*CASE WHEN hl = 0 THEN 65535 WHEN
     SELECT memory_id, confidence, hl, CASE WHEN hl = 0 THEN 0 ELSE greatest(0, (SELECT max(committed_at) FROM sem)-valid_at)*256//hl END AS k FROM (SELECT *, CASE {_LIVES} END AS hl FROM sem)) JOIN halves ON i = k%256"""
 
 
+_SCALED = " ".join(f"WHEN '{m}' THEN CAST((min(e.c)*{a}+{b // 2})//{b} AS BIGINT)" for m, (a, b) in inference.MIN_SCALES.items())
+
+
 @query(
     "inferred_effective_confidence",
     fx.with_tables(
-        "SELECT l.inf_id AS memory_id, CAST((min(e.c)*9+5)//10 AS BIGINT) AS effective FROM (SELECT memory_id AS inf_id, unnest(derived_from) AS p FROM inf WHERE method IN ('citation_link', 'interval_calc')) l JOIN eff e ON e.memory_id = l.p GROUP BY l.inf_id",
+        f"""SELECT memory_id, method, CASE method {_SCALED} WHEN 'direct_lookup' THEN arg_min(e.c, k) WHEN 'conflict_reconciliation' THEN CAST((max(e.c)*4+2)//5 AS BIGINT) END AS effective
+        FROM (SELECT memory_id, method, unnest(derived_from) AS p, generate_subscripts(derived_from, 1) AS k FROM inf) l JOIN eff e ON e.memory_id = l.p GROUP BY l.memory_id, method""".replace("SELECT memory_id, method, CASE", "SELECT l.memory_id AS memory_id, method, CASE").replace(
+            "GROUP BY l.memory_id, method", "WHERE method NOT IN (" + ", ".join(f"'{m}'" for m in (*inference.PRODUCT_SCALES, "multi_source_consensus", "pattern_summarize")) + ") GROUP BY l.memory_id, method"
+        ),
         "sem", "inf", halves=_HALVES, eff=_EFFECTIVE,
     ),
 )
 def inferred_effective_confidence(spark, sf):
+    """Confidence of inferred rows from their parents' decayed confidences, for the methods that take a minimum, a maximum or the first."""
     sem = fx.sem(spark, sf)
     wm = sem.agg(F.max("committed_at")).scalar()
     factor = decay.decay_factor(F.greatest(F.lit(0), wm - F.col("valid_at")), decay.half_life_ms("sem", F.col("source")))
     parents = sem.select(F.col("memory_id").alias("p"), decay.effective_confidence(F.col("confidence"), factor).alias("c"))
-    listed = fx.inf(spark, sf).filter(F.col("method").isin("citation_link", "interval_calc")).select("memory_id", F.explode("derived_from").alias("p"))
-    return listed.join(parents, "p").groupBy("memory_id").agg(inference.scale(F.min("c"), 9, 10).alias("effective"))
+    folded = (*inference.PRODUCT_SCALES, "multi_source_consensus", "pattern_summarize")
+    listed = fx.inf(spark, sf).filter(~F.col("method").isin(*folded)).select("memory_id", "method", F.posexplode("derived_from").alias("k", "p"))
+    ordered = listed.join(parents, "p").groupBy("memory_id", "method").agg(F.sort_array(F.collect_list(F.struct("k", "c"))).alias("all"))
+    return ordered.select("memory_id", "method", inference.inferred_confidence(F.col("method"), F.transform("all", lambda x: x["c"])).alias("effective"))
 
 
 # Extension: how lately a rule has fired, from the episodes that name it.
@@ -183,14 +221,13 @@ def rule_firings(spark, sf):
     return fired.groupBy("rule_id").agg(F.max("observed_at").alias("last_fired"), F.count("*").alias("firings"))
 
 
-@query("round_order", "SELECT doc_id, row_number() OVER (PARTITION BY doc_id//5 ORDER BY 'p' || (doc_id%4), 'out_' || doc_id) AS place FROM documents")
+@query(
+    "round_order",
+    fx.with_tables("SELECT output_id, row_number() OVER (PARTITION BY episode_id ORDER BY CASE round WHEN 'independent' THEN 1 WHEN 'critique' THEN 2 ELSE 3 END, participant_id, output_id) AS place FROM outputs", **governance._Q),
+)
 def round_order(spark, sf):
-    """Outputs of an episode in order of participant and output id."""
-    from pyspark.sql import Window
-
-    i = F.col("doc_id")
-    w = Window.partitionBy(F.expr("doc_id div 5")).orderBy(F.concat(F.lit("p"), (i % 4).cast("string")), F.concat(F.lit("out_"), i.cast("string")))
-    return fx.table(spark, sf, "documents").select("doc_id", F.row_number().over(w).cast("long").alias("place"))
+    """Outputs of an episode in order of round, participant and output id."""
+    return qo.in_round_order(governance._outputs(spark, sf)).select("output_id", "place")
 
 
 @query(
