@@ -2,6 +2,7 @@
 
 import json
 import math
+import os
 import random
 from dataclasses import replace
 
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 
 from factloom.functions import decay, inference, text
 from factloom.operators import drafts, logs, sessions
-from factloom.plans.lisp import LispError, Symbol, Timestamp, parse, read_spec
-from factloom.plans.read import ReadError, ReadSpec
+from factloom.plans.lisp import LispError, Symbol, Timestamp, parse, parse_batch, read_spec
+from factloom.plans.read import ReadError, ReadSpec, execute
 from factloom.sources import record_log as rl
 from factloom.streaming import supersede
 
@@ -63,6 +64,7 @@ def test_inferred_confidence_folds_in_order(spark):
 def test_text_functions(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert one(text.terminal_safe(F.lit("a\x1b[31mred\x1b[0m\x1b]0;t\x07b\x1b]x\x1b\\c\x01\td\x1bZe\n"))) == "aredbc\tde\n"
+    assert one(text.terminal_safe(F.lit("\x1b\x1b[31m|\x1b]a\x1bb\x07c\x1b]open"))) == "[31m|c"
     assert one(text.preview(F.lit("  a \n b "))) == "a b" and one(text.preview(F.lit("x" * 81))) == "x" * 77 + "..." and one(text.preview(F.lit("y" * 80))) == "y" * 80
     assert one(text.lisp_string(F.lit('a"\\\n\r\t'))) == '"a\\"\\\\\\n\\r\\t"'
     assert one(text.like_pattern(F.lit("a%_\\"))) == "%a\\%\\_\\\\%"
@@ -83,6 +85,24 @@ def test_lisp_forms():
             parse(bad)
 
 
+def test_forms_have_the_shape_of_their_opcode():
+    good = (
+        "(sem @a knows @b :src @o :c 0.5 :v 2024-01-01 :projected true)", "(pro @r \"t\" 5 :scp @s :src @o :c 1.0 :pre \"x\")", "(inf @a @p 1 (@m1 @m2) @majority_vote :c 0.5 :v 2024-01-01)",
+        "(alias @a @b) (rename @a @b) (retire @a :reason \"old\") (promote @a) (pin @m :actor @a)", "(correct @ep (epi @e @k (@a) @l :at 2024-01-01 :obs 2024-01-01 :src @o :c 1.0))",
+        "(episode :close)", "(episode :start :retracts (@a @b) :parent_episode @p)", "(query :limit 3)",
+    )
+    assert all(parse_batch(text) for text in good)
+    bad = (
+        "(sem @a @p @o :c 0.5 :v 2024-01-01)", "(sem a @p @o :src @o :c 0.5 :v 2024-01-01)", "(sem @a @p @o @x :src @o :c 0.5 :v 2024-01-01)", "(sem @a @p @o :src @o :c 0.5 :v 2024-01-01 :scp @x)",
+        "(sem @a @p word :src @o :c 0.5 :v 2024-01-01)", "(epi @e @k @a @l :at 2024-01-01 :obs 2024-01-01 :src @o :c 1.0)", "(inf @a @p 1 (@m1 5) @x :c 0.5 :v 2024-01-01)", "(alias @a)", "(pin @m)",
+        "(correct @ep (sem @a @p 1 :src @o :c 0.5 :v 2024-01-01))", "(episode :label \"x\" :start)", "(episode :close :label \"x\")", "(episode :start :label @x)", "(episode :start :retracts @x)", "(episode)",
+    )
+    for text in bad:
+        parse(text)
+        with pytest.raises(LispError):
+            parse_batch(text)
+
+
 def test_read_specifications():
     spec = read_spec("(query :kind sem :s @alice :as_of 2024-01-15 :limit 3 :debug_mode true :in_episode @__ep_7)")
     assert (spec.kind, spec.s, spec.as_of, spec.limit, spec.show_framing, spec.explain_filtered, spec.in_episode) == ("sem", "alice", 1705276800000, 3, True, True, 7)
@@ -124,6 +144,39 @@ def test_log_round_trip_and_sources(spark, tmp_path):
     assert logs.committed_prefix(rl.read_logs(spark, path)).count() == 6
 
 
+def test_log_in_ranges_appends_and_orphan_tails(spark, tmp_path):
+    path = str(tmp_path / "b.log")
+    batch = [RECORDS[1], RECORDS[5]]
+    rl.write_log(path, RECORDS[:6] + batch * 40)
+    rl.write_index(path, every=300)
+    spark.dataSource.register(rl.RecordLogSource)
+    ranged = spark.read.format("record_log").option("path", path).load()
+    assert ranged.rdd.getNumPartitions() > 3
+    want = [(n, at, k, plain(f)) for n, at, k, f, _ in rl.decode_all(open(path, "rb").read())]
+    assert [(r.log_pos, r.offset, r.kind, json.loads(r.fields)) for r in ranged.orderBy("log_pos").collect()] == want
+    assert rl.committed_end(path)[1] == "clean" and rl.truncate_orphan_tail(path) == 0
+    size = (tmp_path / "b.log").stat().st_size
+    rl.append_log(path, [RECORDS[1]])
+    assert not (tmp_path / "b.log.idx").exists() and rl.committed_end(path) == (size, "orphan")
+    assert rl.truncate_orphan_tail(path) > 0 and (tmp_path / "b.log").stat().st_size == size
+    with open(path, "ab") as out:
+        out.write(rl.encode_record(*RECORDS[1])[:-3])
+    assert rl.truncate_orphan_tail(path) > 0 and rl.committed_end(path) == (size, "clean")
+    with open(path, "ab") as out:
+        out.write(b"\x77\x00")
+    with pytest.raises(ValueError):
+        rl.truncate_orphan_tail(path)
+    # Pieces of any size give the same rows.
+    whole = rl.READ_BYTES
+    try:
+        for rl.READ_BYTES in (1, 7, 64):
+            stream, size = rl._opened(path)
+            with stream:
+                assert [x[:3] + x[4:] for x in rl.decode_stream(stream, size)] == [x[:3] + x[4:] for x in rl.decode_all(open(path, "rb").read())]
+    finally:
+        rl.READ_BYTES = whole
+
+
 def test_log_errors():
     good = rl.encode_record(*RECORDS[4])
     last = lambda raw: list(rl.decode_all(rl.HEADER + raw))[-1][4]
@@ -162,6 +215,46 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == {r.memory_id: (r.kind, r.head_id, r["head"]) for r in semantic_history(whole).collect()}
 
 
+def test_runner_over_a_stream(spark, tmp_path):
+    from factloom.streaming import runner as watching
+
+    rows = [(f"d{i}", "pending" if i % 3 else "processing", 5 if i % 3 == 0 else None) for i in range(30)]
+    spark.createDataFrame(rows, "id string, state string, claimed_at long").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("id string, state string, claimed_at long").parquet(f"{tmp_path}/in")
+    decide = lambda batch: batch.filter("id <> 'd4'").select("id", F.lit("accepted").alias("decision"))
+    run = watching.watch(stream, decide, lambda: 10_000_000, f"{tmp_path}/items", f"{tmp_path}/sums").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    run.awaitTermination()
+    total = spark.read.parquet(f"{tmp_path}/sums").first()
+    assert (total.recovered_processing, total.pending_seen, total.claimed, total.accepted, total.deferred, total.claim_misses) == (10, 30, 30, 29, 1, 0)
+    assert {r.final_state for r in spark.read.parquet(f"{tmp_path}/items").filter("id = 'd4'").collect()} == {"pending"}
+
+
+def test_bindings_against_one_batch_at_a_time(spark):
+    from factloom.operators import bind
+
+    draw = random.Random(8)
+    mentions = [(b, f"n{draw.randrange(12)}", draw.choice("abc" if draw.random() < 0.3 else "a")) for b in range(150) for _ in range(draw.randint(1, 3))]
+    locks, want = {}, {}
+    for b in range(150):
+        own, bad = dict(locks), False
+        for _, name, kind in (m for m in mentions if m[0] == b):
+            bad |= own.setdefault(name, kind) != kind
+        want[b] = bad
+        locks = locks if bad else own
+    got = {r.batch: r.rejected for r in bind.audit(spark.createDataFrame(mentions, "batch long, name string, kind string")).collect()}
+    assert got == want and 0 < sum(want.values()) < 150
+
+
+def test_half_lives_in_a_read(spark):
+    from factloom.queries.reads import store
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("the driver's tables aren't here")
+    own = store(spark, "/root/testdata/sf0.001")
+    low = lambda **kw: execute(own, ReadSpec(kind="sem", confidence_threshold=1.0, limit=None, **kw)).records.filter("source = 'document'").agg(F.sum("effective")).first()[0]
+    assert low(half_life_days=((("sem", "document"), 1),)) < low() < low(half_life_days=((("sem", "document"), 0),))
+
+
 def test_draft_rules(spark):
     moves = spark.createDataFrame([("a", i, s) for i, s in enumerate(("pending", "processing", "accepted", "pending"))] + [("b", 0, "failed")], "id string, position long, state string")
     assert [r.allowed for r in drafts.audit_moves(moves).orderBy("id", "position").collect()] == [True, True, True, False, False]
