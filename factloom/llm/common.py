@@ -141,9 +141,10 @@ def one_of_each(docs: DataFrame, stay: DataFrame, keys: list[str]) -> DataFrame:
     many = not hot.isEmpty()
     if many:
         pick, rest = docs.join(F.broadcast(hot), keys, "left_anti"), rest.join(F.broadcast(hot), keys, "left_anti")
-    # The window needs the join's own partitioning, so rows move once.
+    # The window needs the join's own partitioning, so rows move once. Keys are there once, and an inner join stays
+    # where it is written: a semi-join would be moved ahead of a sieve.
     one = Window.partitionBy(*keys).orderBy(F.lit(0))
-    out = pick.join(rest, keys, "left_semi").withColumn(turn, F.row_number().over(one)).filter(F.col(turn) == 1).select(*docs.columns)
+    out = pick.join(rest, keys).withColumn(turn, F.row_number().over(one)).filter(F.col(turn) == 1).select(*docs.columns)
     if many:
         whole = fresh_name(docs, "whole")
         first = docs.join(F.broadcast(hot), keys, "left_semi").groupBy(*keys).agg(F.first(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias(whole))
