@@ -16,7 +16,7 @@ from factloom.llm import byte_bpe, common, decontamination, exact_dedup, languag
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in which no language can be told (null, or without a letter) go."""
+    """Texts in which no language is told go: null, without a letter, or with no language that explains most of them."""
     return language_id.keep_identified(docs, language_id.fit(docs))
 
 
