@@ -76,7 +76,7 @@ _read("inf_as_of", ReadSpec(kind="inf", as_of=T, as_committed=TC, include_retire
 _read("pro_as_of", ReadSpec(kind="pro", as_of=_T2, include_retired=True, limit=_ALL), "true", c=_rows("pro", str(_T2)))
 _read("pro_bitemporal", ReadSpec(kind="pro", as_of=_TC2, as_committed=_T2, limit=_ALL), _NOT_RETIRED, c=_rows("pro", str(_TC2), str(_T2)))
 _read("mixed_read", ReadSpec(as_of=_T2, as_committed=_TC2, limit=_ALL), _NOT_RETIRED, c=_rows(None, str(_T2), str(_TC2)))
-_read("in_episode", ReadSpec(in_episode=5213, limit=_ALL), f"{_EP.format('=', 5213)} AND {_NOT_RETIRED}", "episodes")
+_read("in_episode", ReadSpec(in_episode=970, include_retired=True, include_projected=True, limit=_ALL), _EP.format("=", 970), "episodes", c=_rows(projected=True))
 _read("after_episode", ReadSpec(after_episode=500, limit=_ALL), f"{_EP.format('>', 500)} AND {_NOT_RETIRED}", "episodes")
 _LAST = "(SELECT max(episode_id) FROM episodes)"
 _read("unknown_episode_empty", ReadSpec(after_episode=-7, limit=_ALL), "false")

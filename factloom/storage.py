@@ -1,24 +1,39 @@
-"""Checkpoints of intermediate tables in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _shared_root(spark: SparkSession) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    root = "file://" + tempfile.mkdtemp(prefix="factloom-checkpoints-", dir="/tmp")
+    spark.conf.set("spark.checkpoint.dir", root)
+    _delete_at_exit(spark, root)
+    return root
+
+
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder; its lineage ends there.
+    """``df`` written as a table to the shared folder and read back; its lineage ends there.
 
-    The folder is the session's ``spark.checkpoint.dir``. A local session
-    without one gets a folder of its own; a cluster session fails.
+    The folder is the session's ``spark.checkpoint.dir``; the table goes when
+    the session's JVM ends. A local session without that setting gets a folder
+    of its own; a cluster session fails.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if root is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            root = "file://" + tempfile.mkdtemp(prefix="factloom-checkpoints-", dir="/tmp")
-        sc.setCheckpointDir(root)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{_shared_root(spark)}/factloom-tables/{uuid.uuid4().hex}"
+    _delete_at_exit(spark, path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
