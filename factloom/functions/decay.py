@@ -87,3 +87,13 @@ def effective_confidence(stored: Column, factor: Column, exempt: Column | None =
     """Stored confidence times the factor, rounded; pinned and authoritative rows are exempt."""
     product = divide(stored.cast("long") * factor + 32_767, F.lit(FULL))
     return product if exempt is None else F.when(exempt, stored.cast("long")).otherwise(product)
+
+
+# The least weight of a rule, and the days after which its weight is a 1/e of what it was.
+ACTIVITY_FLOOR, ACTIVITY_DAYS = 0.3, 180
+
+
+def activity_factor(last_fire: Column, created: Column, now: Column) -> Column:
+    """Weight of a rule by its last firing; one that never fired counts from its creation."""
+    days = (now - F.coalesce(last_fire, created)) / F.lit(float(DAY_MS))
+    return F.greatest(F.lit(ACTIVITY_FLOOR), F.least(F.lit(1.0), F.exp(-days / ACTIVITY_DAYS)))

@@ -221,6 +221,24 @@ def rule_firings(spark, sf):
     return fired.groupBy("rule_id").agg(F.max("observed_at").alias("last_fired"), F.count("*").alias("firings"))
 
 
+_NOW = 1_720_000_000_000
+
+
+@query(
+    "rule_activity",
+    fx.with_tables(
+        f"""SELECT r.rule_id, CAST(round(greatest(0.3, least(1.0, exp(-(({_NOW} - coalesce(f.last_fired, r.created)) / 86400000.0::DOUBLE) / 180))) * 1000000) AS BIGINT) AS weight
+        FROM (SELECT rule_id, min(committed_at) AS created FROM pro GROUP BY rule_id) r LEFT JOIN (SELECT who, max(observed_at) AS last_fired FROM (SELECT unnest(participants) AS who, observed_at FROM epi WHERE kind = 'click') GROUP BY who) f ON f.who = r.rule_id""",
+        "pro", "epi",
+    ),
+)
+def rule_activity(spark, sf):
+    """Weights of rules in millionths; users stand for rules that fire."""
+    rules = fx.pro(spark, sf).groupBy("rule_id").agg(F.min("committed_at").alias("created"))
+    weight = decay.activity_factor(F.col("last_fired"), F.col("created"), F.lit(_NOW))
+    return rules.join(rule_firings(spark, sf), "rule_id", "left").select("rule_id", F.round(weight * 1_000_000).cast("long").alias("weight"))
+
+
 @query(
     "round_order",
     fx.with_tables("SELECT output_id, row_number() OVER (PARTITION BY episode_id ORDER BY CASE round WHEN 'independent' THEN 1 WHEN 'critique' THEN 2 ELSE 3 END, participant_id, output_id) AS place FROM outputs", **governance._Q),

@@ -43,6 +43,42 @@ def read_scores(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("problem", problem)
 
 
+SCENARIO_SCHEMA = (
+    "schema_version int, id string, status string, title string, source_markdown string, situation string, cold_start_prompt string, work_instruction_test string, cutoff_minutes double, "
+    "baselines array<struct<id: string, name: string, preserved_state: string>>, "
+    "ground_truth array<struct<id: string, category: string, text: string, source_refs: array<string>, auto_fail_if_wrong: boolean>>, "
+    "staleness_tests array<struct<id: string, superseded_fact: string, current_fact: string, expected_behavior: string>>"
+)
+_SCENARIO_TEXTS = ("id", "status", "title", "source_markdown", "situation", "cold_start_prompt", "work_instruction_test")
+
+
+def _blank(x):
+    return F.trim(F.coalesce(x, F.lit(""))) == ""
+
+
+def read_scenarios(spark: SparkSession, folder: str) -> DataFrame:
+    """Scenarios of the JSON files of a folder, with ``problem``: the first thing that is wrong with one."""
+    rows = spark.read.schema(SCENARIO_SCHEMA).option("columnNameOfCorruptRecord", "_broken").json(f"{folder}/*.json", multiLine=True)
+    rows = rows.withColumn("file", F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1))
+    none = lambda c: F.coalesce(F.size(c), F.lit(0)) < 1
+    lacks = lambda c, *names: F.exists(c, lambda x: F.exists(F.array(*(x[n] for n in names)), _blank))
+    ids = lambda c: F.transform(c, lambda x: x["id"])
+    repeated = lambda c: F.size(F.array_distinct(ids(c))) < F.size(c)
+    problem = F.when(F.coalesce(F.col("schema_version") != 1, F.lit(True)), "schema_version")
+    for c in _SCENARIO_TEXTS:
+        problem = problem.when(_blank(F.col(c)), c)
+    cutoff = F.col("cutoff_minutes")
+    problem = (
+        problem.when(F.coalesce((cutoff <= 0) | (cutoff != F.floor(cutoff)), F.lit(True)), "cutoff_minutes")
+        .when(~F.coalesce(ids("baselines") == F.array(*(F.lit(b) for b in "ABCD")), F.lit(False)), "baselines").when(lacks("baselines", "id", "name", "preserved_state"), "baselines")
+        .when(none("ground_truth") | lacks("ground_truth", "id", "category", "text"), "ground_truth")
+        .when(F.exists("ground_truth", lambda x: x["source_refs"].isNull() | x["auto_fail_if_wrong"].isNull()) | repeated("ground_truth"), "ground_truth")
+        .when(F.col("staleness_tests").isNull() | lacks("staleness_tests", "id", "superseded_fact", "current_fact", "expected_behavior") | repeated("staleness_tests"), "staleness_tests")
+        .when(F.col("file") != F.col("id"), "file name")
+    )
+    return rows.withColumn("problem", problem)
+
+
 def write_artifacts(rows: DataFrame, folder: str) -> None:
     """Review episodes, outputs and votes as JSON lines, by kind and episode."""
     rows.write.mode("append").partitionBy("kind", "episode_id").json(folder)

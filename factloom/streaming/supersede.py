@@ -1,35 +1,52 @@
 """Supersession over a stream of rows: the head of each key is the only state.
 
-Rows of a key are folded in log order within a micro-batch; each gives its
-kind and, if it moves or meets a head, the edge. Given rows in log order
-between batches, the stream's result equals the batch derivation.
+Rows of a key are folded in log order within a micro-batch, by array
+operations; each gives its kind and the head that it met. Rows must come in log
+order between batches. One that comes behind a row already folded would change
+what was put out, so it is not folded: its kind is ``late``, and the batch
+derivation has to be run over its key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTPUT = "memory_id long, s long, p string, kind string, head_id long, head long, committed_at long"
-STATE = "head long, head_id long"
+STATE = "head long, head_id long, committed_at long, log_pos long"
+_NONE = np.iinfo(np.int64).min
 
 
 def _fold(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    head, head_id = state.get if state.exists else (None, None)
-    rows = pd.concat(list(chunks)).sort_values(["committed_at", "log_pos"])
-    out = []
-    for r in rows.itertuples(index=False):
-        kind = "first" if head is None else "forward" if r.valid_at > head else "retro" if r.valid_at < head else "conflict"
-        out.append((r.memory_id, key[0], key[1], kind, head_id, head, r.committed_at))
-        if kind in ("first", "forward"):
-            head, head_id = int(r.valid_at), int(r.memory_id)
-    state.update((head, head_id))
-    frame = pd.DataFrame(out, columns=["memory_id", "s", "p", "kind", "head_id", "head", "committed_at"])
-    yield frame.astype({"head_id": "Int64", "head": "Int64"})
+    head, head_id, at, pos = state.get if state.exists else (_NONE, None, _NONE, _NONE)
+    rows = pd.concat(list(chunks)).sort_values(["committed_at", "log_pos"], ignore_index=True)
+    late = ((rows["committed_at"] < at) | ((rows["committed_at"] == at) & (rows["log_pos"] <= pos))).to_numpy()
+    good = rows[~late]
+    valid, ids = good["valid_at"].to_numpy(np.int64), good["memory_id"].to_numpy(np.int64)
+    met = np.maximum.accumulate(np.concatenate([[head], valid]))[:-1]
+    kind = np.select([met == _NONE, valid > met, valid < met], ["first", "forward", "retro"], "conflict")
+    chain = pd.Series(np.where(np.isin(kind, ["first", "forward"]), ids, 0), dtype="Int64").where(np.isin(kind, ["first", "forward"]))
+    before = pd.concat([pd.Series([head_id], dtype="Int64"), chain], ignore_index=True).ffill()
+    if len(good):
+        last = good.iloc[-1]
+        state.update((int(max(head, valid.max())), int(before.iloc[-1]), int(last["committed_at"]), int(last["log_pos"])))
+    out = pd.DataFrame(
+        {
+            "memory_id": ids, "s": key[0], "p": key[1], "kind": kind, "head_id": before.iloc[:-1].array,
+            "head": pd.Series(met, dtype="Int64").where(met != _NONE).array, "committed_at": good["committed_at"].to_numpy(),
+        }
+    )
+    behind = rows[late]
+    if len(behind):
+        nothing = pd.array([pd.NA] * len(behind), dtype="Int64")
+        behind = pd.DataFrame({"memory_id": behind["memory_id"].to_numpy(), "s": key[0], "p": key[1], "kind": "late", "head_id": nothing, "head": nothing, "committed_at": behind["committed_at"].to_numpy()})
+        out = behind if out.empty else pd.concat([out, behind], ignore_index=True)
+    yield out.astype({"head_id": "Int64", "head": "Int64"})
 
 
 def supersede_stream(rows: DataFrame) -> DataFrame:

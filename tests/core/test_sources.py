@@ -31,6 +31,31 @@ def test_scores_name_what_is_wrong(spark, tmp_path):
     assert [r.problem for r in files.read_scores(spark, f"{tmp_path}/s.json").collect()] == [None, "negative wrong", "missing silent"]
 
 
+def test_scenarios_name_what_is_wrong(spark, tmp_path):
+    text = dict.fromkeys(("status", "title", "source_markdown", "situation", "cold_start_prompt", "work_instruction_test"), "x")
+    good = dict(
+        schema_version=1, **text, cutoff_minutes=10, baselines=[dict(id=b, name="n", preserved_state="s") for b in "ABCD"],
+        ground_truth=[dict(id="g1", category="c", text="t", source_refs=["r"], auto_fail_if_wrong=True)], staleness_tests=[],
+    )
+    changed = {
+        "ok": {}, "version": {"schema_version": 2}, "blank": {"title": " "}, "cutoff": {"cutoff_minutes": 2.5}, "arms": {"baselines": good["baselines"][:3]},
+        "twice": {"ground_truth": good["ground_truth"] * 2}, "flag": {"ground_truth": [good["ground_truth"][0] | {"auto_fail_if_wrong": None}]},
+        "stale": {"staleness_tests": [dict(id="s", superseded_fact="a", current_fact="", expected_behavior="b")]}, "named": {"id": "other"},
+    }
+    for name, change in changed.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps({"id": name, **good, **change}))
+    got = {r.file: r.problem for r in files.read_scenarios(spark, str(tmp_path)).collect()}
+    assert got == {"ok": None, "version": "schema_version", "blank": "title", "cutoff": "cutoff_minutes", "arms": "baselines", "twice": "ground_truth", "flag": "ground_truth", "stale": "staleness_tests", "named": "file name"}
+
+
+def test_review_artifacts_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([("vote", 1, "p1", 0.5), ("output", 1, "p2", None), ("vote", 2, "p1", 1.0)], "kind string, episode_id long, participant_id string, confidence double")
+    files.write_artifacts(rows, f"{tmp_path}/q")
+    files.write_artifacts(rows.limit(1), f"{tmp_path}/q")
+    back = files.read_artifacts(spark, f"{tmp_path}/q", "kind string, episode_id long, participant_id string, confidence double")
+    assert back.filter("kind = 'vote' and episode_id = 1").count() == 2 and back.count() == 4
+
+
 def test_session_store(spark, tmp_path):
     path = str(tmp_path / "s.db")
     con = sqlite3.connect(path)

@@ -213,6 +213,13 @@ def test_stream_equals_batch(spark, tmp_path):
     run.awaitTermination()
     got = {r.memory_id: (r.kind, r.head_id, r["head"]) for r in spark.table("heads").collect()}
     assert got == {r.memory_id: (r.kind, r.head_id, r["head"]) for r in semantic_history(whole).collect()}
+    # A row behind what was folded is told, and changes nothing.
+    spark.createDataFrame([(900, 0, "p", 99, 0, 0), (901, 0, "p", 99, 90, 90)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    run = supersede.supersede_stream(rows).writeStream.format("parquet").option("path", f"{tmp_path}/out").outputMode("append").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = {r.memory_id: (r.kind, r.head_id) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    again = {r.memory_id: (r.kind, r.head_id) for r in semantic_history(whole.unionByName(spark.createDataFrame([(901, 0, "p", 99, 90, 90)], schema))).collect()}
+    assert got.pop(900) == ("late", None) and got == again
 
 
 def test_runner_over_a_stream(spark, tmp_path):
