@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -86,9 +88,31 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch = path
+    for scope in _SCOPES:
+        scope.append(out)
     return out
 
 
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scope() -> Iterator[list[DataFrame]]:
+    """The tables that ``materialise`` makes inside, for ``free_all``."""
+    made: list[DataFrame] = []
+    _SCOPES.append(made)
+    try:
+        yield made
+    finally:
+        _SCOPES[:] = [x for x in _SCOPES if x is not made]
+
+
+def free_all(made: list[DataFrame], *but: DataFrame) -> None:
+    """Delete the tables of a scope, but those that plans still read."""
+    kept = {df.scratch for df in but}
+    free(*(df for df in made if df.scratch not in kept))
+
+
 def free(*tables: DataFrame) -> None:
     """Delete tables of ``materialise`` that no later plan reads."""
     for df in tables:

@@ -62,8 +62,10 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns: one of each group."""
     digest, key = (common.fresh_name(docs, x) for x in ("digest", "key"))
     id_key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    stay = exact_groups(docs).filter("kept").groupBy(id_key.alias(key), F.col("text_sha256").alias(digest)).agg(F.count(F.lit(1)).alias("n"))
-    stay = common.materialise(stay, "exact-stay")
+    with common.scope() as made:
+        stay = exact_groups(docs).filter("kept").groupBy(id_key.alias(key), F.col("text_sha256").alias(digest)).agg(F.count(F.lit(1)).alias("n"))
+        stay = common.materialise(stay, "exact-stay")
+    common.free_all(made, stay)
     return common.one_of_each(docs.withColumns({key: id_key, digest: text_digest()}), stay, [key, digest]).select(*docs.columns)
 
 

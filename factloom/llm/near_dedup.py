@@ -274,7 +274,6 @@ def _links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     own = pairs.select("group", F.col("group").alias("id"), F.col("hub_n").alias("n"), F.col("group").alias("part")).distinct()
     links = common.materialise(_compare_groups(own, pairs.drop("hub_n"), sets, threshold), "hub-links")
     roots = connected_components(links)
-    common.free(hubs, pairs, links)
 
     # 2. In keys with several components, what is outside the largest one against all. A
     # group is a component with the outsiders of all keys in which it is the largest, so
@@ -291,7 +290,6 @@ def _links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     wanted = whole.groupBy("group").agg(F.count(F.lit(1)).alias("rows")).join(outside.select("group").distinct(), "group", "left_semi")
     whole = common.join_split(whole, common.materialise(wanted, "mixed-groups"), ["group"], "rows", total)
     more = common.materialise(_compare_groups(outside, outside.unionByName(whole.select(*outside.columns)), sets, threshold), "outsider-links")
-    common.free(met, placed, tops, outside)
     if more.isEmpty():
         return roots
     return connected_components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
@@ -299,6 +297,20 @@ def _links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 def near_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id and kept of every row."""
+    with common.scope() as made:
+        sketches, named = _classes_and_components(docs, width, threshold)
+    common.free_all(made, sketches, named)
+    full = sketches.filter("digest is not null and id is not null")
+    own = ("id", "text_hash", "n")
+    linked = common.join_split(full.select(*own, "digest"), named, ["digest"], "rows", sketches.count()).select(*own, "of_class")
+    alone = sketches.filter("digest is null or id is null").select(*own, F.col("id").alias("of_class"))
+    return linked.unionByName(alone).select(
+        F.col("id").alias("doc_id"), "text_hash", F.col("n").alias("n_shingles"), F.col("of_class").alias("component_id"), F.col("id").eqNullSafe(F.col("of_class")).alias("kept")
+    )
+
+
+def _classes_and_components(docs: DataFrame, width: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows, and for each digest of a set its rows and its component."""
     common.bound_batches(docs.sparkSession)
     sketches = common.materialise(_sketch_documents(docs, width), "sketches")
     full = sketches.filter("digest is not null and id is not null")
@@ -314,24 +326,18 @@ def near_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> Data
     members = common.materialise(common.join_split(banded, shared, ["key"], "key_rows", total), "members")
     wanted = classes.select("id", "text_hash", F.col("repeats").alias("n")).join(members.select("id").distinct(), "id", "left_semi")
     sets = common.materialise(_member_sets(docs, common.materialise(wanted, "wanted"), width), "member-sets")
-    common.free(banded, shared)
     roots = _links(members, sets, threshold)
-    common.free(members, sets)
     named = classes.join(roots, "id", "left").select("digest", "rows", F.coalesce("root", "id").alias("of_class"))
-    named = common.materialise(named, "named")
-    own = ("id", "text_hash", "n")
-    linked = common.join_split(full.select(*own, "digest"), named, ["digest"], "rows", sketches.count()).select(*own, "of_class")
-    alone = sketches.filter("digest is null or id is null").select(*own, F.col("id").alias("of_class"))
-    return linked.unionByName(alone).select(
-        F.col("id").alias("doc_id"), "text_hash", F.col("n").alias("n_shingles"), F.col("of_class").alias("component_id"), F.col("id").eqNullSafe(F.col("of_class")).alias("kept")
-    )
+    return sketches, common.materialise(named, "named")
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns: one document of each group, and every row without an id."""
     key, of_text = (common.fresh_name(docs, x) for x in ("key", "hash"))
-    stay = near_groups(docs, width, threshold).filter("kept and doc_id is not null")
-    stay = common.materialise(stay.groupBy(F.col("doc_id").alias(key), F.col("text_hash").alias(of_text)).agg(F.count(F.lit(1)).alias("n")), "near-stay")
+    with common.scope() as made:
+        stay = near_groups(docs, width, threshold).filter("kept and doc_id is not null")
+        stay = common.materialise(stay.groupBy(F.col("doc_id").alias(key), F.col("text_hash").alias(of_text)).agg(F.count(F.lit(1)).alias("n")), "near-stay")
+    common.free_all(made, stay)
     known = docs.filter("doc_id is not null").withColumns({key: F.col("doc_id").cast("long"), of_text: F.xxhash64("text")})
     return common.one_of_each(known, stay, [key, of_text]).select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
