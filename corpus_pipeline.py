@@ -54,6 +54,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs = common.materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        with common.scope() as made:
+            docs = common.materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        # A stage's own tables, and the rows that it read, aren't needed once its rows are written.
+        common.free_all(made, docs)
+        if before is not None:
+            common.free(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
