@@ -54,8 +54,8 @@ BASE, RATE, TOP = 1.001, 20.0, 65_535
 BANDS, BAND_ROWS = 56, 7
 #: Registers that the likelihood reads, and standard errors that it forgives.
 ESTIMATE, FORGIVE = 128, 5.0
-#: Bytes of the sets of a block, on either side, and its rows at most.
-BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 512
+#: Bytes of the sets of a block, on either side, and its rows at most; rows of a block that meets few.
+BLOCK_BYTES, BLOCK_ROWS, SMALL_ROWS = 4 << 20, 512, 128
 _CHUNK = 1 << 15
 
 
@@ -234,9 +234,11 @@ def _cuts(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     # A set of this level has 8 bytes a shingle; so many fit in a block.
     step = math.log(1 / threshold) * 1.0001
     fit = F.greatest(F.least(F.floor(BLOCK_BYTES / (8 * F.exp((level + 1) * step))), F.lit(BLOCK_ROWS)), F.lit(1))
+    # Few left rows may be sent to many blocks: no more of them in all than there are right rows.
+    right_fit = F.least(fit, F.greatest(F.lit(SMALL_ROWS), F.col("left_rows")))
     right_rows = F.sum("n").over(Window.partitionBy("group", "level"))
-    blocks = lambda rows: F.ceil(rows / fit).cast("int")
-    return met.select("group", "level", "beside", "left_rows", "n", blocks(F.col("left_rows")).alias("left_blocks"), blocks(right_rows).alias("right_blocks"))
+    blocks = lambda rows, size: F.ceil(rows / size).cast("int")
+    return met.select("group", "level", "beside", "left_rows", "n", blocks(F.col("left_rows"), fit).alias("left_blocks"), blocks(right_rows, right_fit).alias("right_blocks"))
 
 
 def _compare_groups(left: DataFrame, right: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:

@@ -36,6 +36,10 @@ END_ID = 2
 REMEMBERED = 400_000
 
 
+#: Latin-1 with every sign that is no letter, digit or white space as "!".
+_SIGNS = bytes(b if chr(b).isalnum() or b in b"\t\n\x0b\x0c\r " else 33 for b in range(256))
+
+
 def _byte_letters() -> dict[int, str]:
     """Byte-level BPE's letters: printable Latin-1 stands for itself, other bytes for 256, 257, ..."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -97,6 +101,12 @@ class WordCoder:
             return None
         return _packed([x.id for x in self.model(word)])
 
+    def _plain(self, word: str) -> bool:
+        """Whether ``_letters`` answers for a word of letters."""
+        if word.isascii():
+            return word.islower()
+        return max(word) < "\u0100" and word == word.lower()
+
     def _tail(self, tail: str) -> bytes:
         ids = self.tails.get(tail)
         if ids is None:
@@ -107,10 +117,11 @@ class WordCoder:
 
     def _word(self, word: str) -> bytes:
         stem = word.rstrip(string.punctuation)
-        ids = self._letters(stem)
-        if ids is None:
-            return self._whole([word])[0]
-        return ids + self._tail(word[len(stem) :]) if len(stem) < len(word) else ids
+        if len(stem) == len(word):
+            ids = self._letters(word)
+            return self._whole([word])[0] if ids is None else ids
+        # The stem is mostly known by itself.
+        return self.words[stem] + self._tail(word[len(stem) :]) if stem.isalpha() and self._plain(stem) else self._whole([word])[0]
 
     def _split(self, text: str) -> list[str]:
         text = text.replace("\n", " ")
@@ -121,7 +132,11 @@ class WordCoder:
         # A special token's string may hold capitals of its own.
         if any(x in text for x in self.special):
             return text.split(" ")
-        return text.lower().split(" ")
+        text = text.lower()
+        # Where no two signs stand together, a stop or a comma ahead of a space is a match by itself: set off, it makes no new words.
+        if b"!!" not in text.encode("latin-1").translate(_SIGNS):
+            text = text.replace(". ", " . ").replace(", ", " , ")
+        return text.split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:

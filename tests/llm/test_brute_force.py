@@ -224,6 +224,14 @@ def test_window_recall_at_the_most_edits():
     assert tried > 300 and lost <= 1
 
 
+def test_word_coder_on_signs_and_spaces():
+    pytest.importorskip("tokenizers")
+    coder, draw = token_files.WordCoder(token_files.vocabulary()), random.Random(15)
+    parts = ["a", "Bé", "word", "1", " ", " ", ". ", ", ", ".", ",", "..", "_", "-", "\x1c", "\x85", "\xa0", "\t", "\n", "'t", "²", "ª", "?", "x.y", "Ω"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 25))) for _ in range(3000)]
+    assert coder.encode(texts) == coder._whole(texts)
+
+
 def test_token_files_whatever_the_session_limits(spark, tmp_path):
     pytest.importorskip("tokenizers")
     docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"))
