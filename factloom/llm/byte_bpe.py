@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common
 
 #: Answers that a worker remembers, of texts up to LONG characters; about 150 MB.
-PIECES, CHUNKS, LONG = 80_000, 250_000, 64
+PIECES, CHUNKS, LONG = 140_000, 250_000, 64
 _MASK = (1 << 64) - 1
 #: Odd 64-bit multipliers of the slot hash.
 _STEP, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -173,7 +173,13 @@ class BytePairCoder:
                     # white space is split as if it stood alone after a space.
                     if not chunk or chunk[0].isspace() or chunk[-1].isspace():
                         return self._pieces(text)
-                    ids = self._pieces(" " + chunk)
+                    # A run of letters is one match, and so is a stop or comma behind it.
+                    if chunk.isalpha():
+                        ids = self._piece(" " + chunk)
+                    elif chunk[-1] in ".," and chunk[:-1].isalpha():
+                        ids = self._piece(" " + chunk[:-1]) + self._piece(chunk[-1])
+                    else:
+                        ids = self._pieces(" " + chunk)
                     if len(chunk) < LONG:
                         self.chunks.keep(chunk, ids)
                 get = self.chunks.young.get
