@@ -23,21 +23,30 @@ def summarise(scores: DataFrame) -> DataFrame:
     )
 
 
+def _good(metric: str, direction: str) -> Column:
+    """Larger is better, an absent value is the worst."""
+    value = F.col(metric).cast("double")
+    return -F.coalesce(value, F.lit(float("inf"))) if direction == "lower" else F.coalesce(value, F.lit(float("-inf")))
+
+
 def _long(summary: DataFrame) -> DataFrame:
-    """(scenario, baseline, metric, good): larger is better, an absent value is the worst."""
-    def one(metric, direction):
-        value = F.col(metric).cast("double")
-        good = -F.coalesce(value, F.lit(float("inf"))) if direction == "lower" else F.coalesce(value, F.lit(float("-inf")))
-        return F.struct(F.lit(metric).alias("metric"), good.alias("good"))
+    """(scenario, baseline, metric, good)."""
+    return summary.select("scenario", "baseline", F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), _good(m, d).alias("good")) for m, d in METRICS))))
 
-    return summary.select("scenario", "baseline", F.inline(F.array(*(one(*m) for m in METRICS))))
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` by scenario, ahead of what groups them: scenarios have few arms, so to group in front of
+    the shuffle as well saves little and sorts a whole file's rows in one task.
+    """
+    return rows.repartition("scenario")
 
 
 def best_of_others(summary: DataFrame) -> DataFrame:
     """The best arm but the judged one, for each metric; the first arm wins ties."""
-    others = _long(summary).filter(F.col("baseline") != JUDGED)
-    best = others.groupBy("scenario", "metric").agg(F.min(F.struct((-F.col("good")).alias("bad"), "baseline")).alias("b"))
-    return best.select("scenario", "metric", F.col("b.baseline").alias("best"), (-F.col("b.bad")).alias("best_good"))
+    others = summary.filter(F.col("baseline") != JUDGED).select("scenario", "baseline", *((-_good(*m)).alias(f"bad_{m[0]}") for m in METRICS))
+    best = _dealt(others).groupBy("scenario").agg(*(F.min(F.struct(F.col(f"bad_{m}").alias("bad"), "baseline")).alias(m) for m, _ in METRICS))
+    one = lambda m: F.struct(F.lit(m).alias("metric"), F.col(m)["baseline"].alias("best"), (-F.col(m)["bad"]).alias("best_good"))
+    return best.select("scenario", F.inline(F.array(*(one(m) for m, _ in METRICS))))
 
 
 def scenario_verdicts(summary: DataFrame) -> DataFrame:
