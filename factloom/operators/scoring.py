@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Metrics and their direction; the arm that is judged and the one that guards it.
@@ -29,11 +29,6 @@ def _good(metric: str, direction: str) -> Column:
     return -F.coalesce(value, F.lit(float("inf"))) if direction == "lower" else F.coalesce(value, F.lit(float("-inf")))
 
 
-def _long(summary: DataFrame) -> DataFrame:
-    """(scenario, baseline, metric, good)."""
-    return summary.select("scenario", "baseline", F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), _good(m, d).alias("good")) for m, d in METRICS))))
-
-
 def _dealt(rows: DataFrame) -> DataFrame:
     """``rows`` by scenario, ahead of what groups them: scenarios have few arms, so to group in front of
     the shuffle as well saves little and sorts a whole file's rows in one task.
@@ -50,11 +45,16 @@ def best_of_others(summary: DataFrame) -> DataFrame:
 
 
 def scenario_verdicts(summary: DataFrame) -> DataFrame:
-    own = _long(summary).filter(F.col("baseline") == JUDGED).select("scenario", "metric", "good")
-    wins = best_of_others(summary).join(own, ["scenario", "metric"]).groupBy("scenario").agg(F.count_if(F.col("good") > F.col("best_good")).alias("wins"))
-    arm = lambda b: summary.filter(F.col("baseline") == b).select("scenario", F.col("hallucinations").alias(f"h_{b}"), F.col("stale").alias(f"s_{b}"))
-    out = wins.join(arm(JUDGED), "scenario").join(arm(GUARD), "scenario")
-    fine, fresh = F.col(f"h_{JUDGED}") <= F.col(f"h_{GUARD}"), F.col(f"s_{JUDGED}") < F.col(f"s_{GUARD}")
+    """One sort by scenario holds all that a scenario is judged by; a repeated arm is judged as often as it stands there."""
+    arms = summary.filter(F.col("scenario").isNotNull()).select("scenario", "baseline", "hallucinations", "stale", *((-_good(*m)).alias(f"bad_{m[0]}") for m in METRICS))
+    bad, whole = [f"bad_{m}" for m, _ in METRICS], Window.partitionBy("scenario")
+    others = [F.min(F.when(F.col("baseline") != JUDGED, F.col(c))).over(whole) for c in bad]
+    won = sum((F.when(F.col(c) < least, 1).otherwise(0) for c, least in zip(bad, others, strict=True)), F.lit(0))
+    guards = F.collect_list(F.when(F.col("baseline") == GUARD, F.struct("hallucinations", "stale"))).over(whole)
+    judged = _dealt(arms).select("scenario", "baseline", "hallucinations", "stale", won.alias("won"), guards.alias("guards"))
+    judged = judged.withColumn("wins", F.sum(F.when(F.col("baseline") == JUDGED, F.col("won"))).over(whole)).filter(F.col("baseline") == JUDGED)
+    out = judged.select("scenario", "wins", "hallucinations", "stale", F.explode("guards").alias("guard"))
+    fine, fresh = F.col("hallucinations") <= F.col("guard.hallucinations"), F.col("stale") < F.col("guard.stale")
     return out.select("scenario", "wins", fine.alias("hallucinations_ok"), fresh.alias("staleness_ok"), ((F.col("wins") >= WINS_NEEDED) & fine & fresh).alias("win"))
 
 
