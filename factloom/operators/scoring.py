@@ -58,14 +58,16 @@ def scenario_verdicts(summary: DataFrame) -> DataFrame:
     return out.select("scenario", "wins", fine.alias("hallucinations_ok"), fresh.alias("staleness_ok"), ((F.col("wins") >= WINS_NEEDED) & fine & fresh).alias("win"))
 
 
-def benchmark_verdict(verdicts: DataFrame, scenarios: DataFrame | None = None) -> DataFrame:
+def benchmark_verdict(verdicts: DataFrame, scenarios: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Won if all scenarios are complete and at least two thirds of them are won.
 
     ``scenarios`` (scenario, complete) lists all of them; without it those with a verdict are all there are.
+    Each value of its columns ``by`` is a benchmark of its own.
     """
     known = scenarios if scenarios is not None else verdicts.select("scenario", F.lit(True).alias("complete"))
-    rows = known.join(verdicts.select("scenario", "win"), "scenario", "left")
-    out = rows.agg(F.count("*").alias("scenarios"), F.count_if("complete").alias("complete_scenarios"), F.count_if(F.col("complete") & F.col("win")).alias("wins"))
+    # Sizes told from the files do not count the arms: no verdicts are broadcast on their word. Both sides are dealt by scenario.
+    rows = known.join(verdicts.select("scenario", "win").hint("merge"), "scenario", "left")
+    out = rows.groupBy(*by).agg(F.count("*").alias("scenarios"), F.count_if("complete").alias("complete_scenarios"), F.count_if(F.col("complete") & F.col("win")).alias("wins"))
     out = out.withColumn("required_wins", F.expr("(2 * complete_scenarios + 2) div 3"))
     whole = (F.col("scenarios") > 0) & (F.col("complete_scenarios") == F.col("scenarios"))
     return out.withColumn("benchmark_win", whole & (F.col("wins") >= F.col("required_wins")))
@@ -80,7 +82,8 @@ def completeness(scores: DataFrame, transcripts_ready: Column | None = None) ->
     gone = [F.col(c).isNull() if c != "minutes" else F.col(c).isNull() & ~F.coalesce("did_not_recover", F.lit(False)) for c in SCORE_FIELDS]
     missing = sum((g.cast("long") for g in gone), F.lit(0).cast("long"))
     ready = F.lit(True) if transcripts_ready is None else transcripts_ready
-    out = scores.groupBy("scenario").agg(F.sum(missing).alias("missing"), F.bool_and(ready).alias("transcripts_ready"))
+    arms = _dealt(scores.select("scenario", missing.alias("missing"), ready.alias("ready")))
+    out = arms.groupBy("scenario").agg(F.sum("missing").alias("missing"), F.bool_and("ready").alias("transcripts_ready"))
     return out.withColumn("complete", (F.col("missing") == 0) & F.col("transcripts_ready"))
 
 

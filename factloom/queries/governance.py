@@ -174,10 +174,8 @@ def completeness_audit(spark, sf):
 )
 def benchmark_verdict(spark, sf):
     """Two benchmarks: complete scenarios of even number, and the others, among which some lack fields."""
-    verdicts, scenarios = sc.scenario_verdicts(sc.summarise(_scores(spark, sf))), _complete(spark, sf)
     even = F.col("complete") & (F.col("scenario") % 2 == 0)
-    one = lambda rows, name: sc.benchmark_verdict(verdicts, rows).select(F.lit(name).alias("group"), "*")
-    return one(scenarios.filter(even), True).unionByName(one(scenarios.filter(~even), False))
+    return sc.benchmark_verdict(sc.scenario_verdicts(sc.summarise(_scores(spark, sf))), _complete(spark, sf).withColumn("group", even), by=("group",))
 
 
 @query(

@@ -29,7 +29,7 @@ def peaks(spark, query, folder):
     return [s.peakExecutionMemory() / 1e6 for s in new if s.numTasks() == 1]
 
 
-@pytest.mark.parametrize("name", ["best_baseline", "scenario_verdict"])
+@pytest.mark.parametrize("name", ["best_baseline", "scenario_verdict", "completeness_audit", "benchmark_verdict"])
 def test_a_file_is_not_grouped_in_the_task_that_reads_it(spark, many_ranges, tmp_path, name):
     spark.range(60_000).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
     assert max(peaks(spark, QUERIES[name], str(tmp_path)), default=0) < 4
@@ -90,3 +90,14 @@ def test_scenario_verdicts(spark, seed):
     nowhere = [(None, b, *r[2:]) for b, r in zip("ABCD", rows)]
     got = sc.scenario_verdicts(spark.createDataFrame(rows + nowhere, SUMMARY)).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, verdicts(rows)))
+
+
+def test_a_benchmark_without_scenarios_has_no_row(spark, tmp_path):
+    spark.createDataFrame([(1,), (3,), (13,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    assert [r.group for r in QUERIES["benchmark_verdict"](spark, str(tmp_path)).collect()] == [False]
+
+
+def test_verdicts_are_not_broadcast(spark, tmp_path):
+    spark.range(1000).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    plan = QUERIES["benchmark_verdict"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("FileScan") == 2
